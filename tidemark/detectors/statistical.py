@@ -18,7 +18,7 @@ from tidemark.operators.neighbours import Points, distinct_points, knn_points
 from tidemark.operators.sampling import hashed_share
 from tidemark.operators.scale import scale
 from tidemark.operators.skew import join_unique
-from tidemark.session import materialise
+from tidemark.session import materialise, shuffle_partitions
 
 EULER = 0.5772156649
 
@@ -71,6 +71,7 @@ class IsolationForest(Detector):
         else:
             dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
         w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "row_id"), "row_id")
+        dealt = dealt.repartition(shuffle_partitions(frame.df.sparkSession), "tree")
         sample = dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
 
         def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -308,6 +309,8 @@ def core_points(points: Points, d: int, eps: float, min_samples: int) -> DataFra
         "cells",
     )
     asking = placed.where(~F.col("sure")).select("pid", "v")
+    if not asking.count():
+        return placed.select("pid", "v", "ids", F.col("sure").alias("core"))
     near = knn_points(asking, placed.select("pid", "v", F.slice("ids", 1, min_samples).alias("ids")),
                       points.n_points, min_samples, radius=eps)
     counted = near.groupBy("pid").agg(F.sum(F.size("ids")).alias("_near"))
@@ -333,6 +336,8 @@ class Dbscan(Detector):
         if not n_cores:
             return frame.df.select("row_id", F.lit(1.0).alias("raw"))
         rest = flagged.where(~F.col("core"))
+        if n_cores == points.n_points:
+            return frame.df.select("row_id", F.lit(0.0).alias("raw"))
         gap = materialise(
             knn_points(rest.select("pid", "v"), cores.select("pid", "v", "ids"), n_cores, 1).where(
                 F.col("dist") > F.lit(eps)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sampling import md5_sample
 from tidemark.operators.skew import join_unique
-from tidemark.session import materialise
+from tidemark.session import materialise, shuffle_partitions
 
 MAX_PIVOTS = 1024
 QUERY_CHUNK = 2048
@@ -58,7 +58,10 @@ def distinct_points(df: DataFrame, vector: Column, row_id: str = "row_id", keep:
     )
     copies = rows.groupBy("v").agg(F.count(F.lit(1)).alias("copies"))
     table = materialise(
-        kept.join(copies, "v").select(F.col("ids")[0].alias("pid"), "v", "ids", "copies"), "points"
+        kept.join(copies, "v")
+        .select(F.col("ids")[0].alias("pid"), "v", "ids", "copies")
+        .repartition(shuffle_partitions(df.sparkSession), "pid"),
+        "points",
     )
     size = table.agg(F.count(F.lit(1)).alias("p"), F.sum("copies").alias("r")).first()
     return Points(table, rows, size["p"], size["r"] or 0)
@@ -191,6 +194,8 @@ def _grouped(queries: DataFrame, refs: DataFrame, n_refs: int, k, radius, ref_co
         F.explode(_group_keys(layout, "ref")("pid", "cell", "far")).alias("group"),
         F.col("pid").alias("nbr"), "v", *ref_cols,
     )
+    parts = shuffle_partitions(queries.sparkSession)
+    left, right = left.repartition(parts, "group"), right.repartition(parts, "group")
     return left.groupBy("group").cogroup(right.groupBy("group"))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, parallelism
+from tidemark.session import materialise, parallelism, shuffle_partitions
 
 MIN_BLOCK = 1024
 MAX_BLOCK = 262_144
@@ -24,7 +24,12 @@ _IN_PARTITION = (1 << 33) - 1  # low 33 bits of monotonically_increasing_id
 
 def _sorted_slots(df: DataFrame, keys: Sequence) -> DataFrame:
     """Range-partition and sort by ``keys``; ``_slot`` = sorted partition, ``_at`` = row in it."""
-    ranged = df.orderBy(*keys).withColumn("_mid", F.monotonically_increasing_id())
+    parts = shuffle_partitions(df.sparkSession)
+    ranged = (
+        df.repartitionByRange(parts, *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_mid", F.monotonically_increasing_id())
+    )
     frozen = materialise(ranged, "ordered")
     return frozen.withColumns(
         {
@@ -143,6 +148,7 @@ def pack_blocks(
     slim = df.select(pos, values.alias("v"))
     packed = (
         replicate_to_blocks(slim, size, before, after, pos)
+        .repartition(shuffle_partitions(df.sparkSession), "_block")
         .groupBy("_block")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("at"), "v"))).alias("rows"))
         .where(F.col("_block") <= (max(n, 1) - 1) // size)

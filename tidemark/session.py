@@ -41,5 +41,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions for shuffles that feed Python work.
+
+    Given explicitly, they are not merged by adaptive execution, which judges by
+    bytes and would put compute-heavy small tables into one task.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
