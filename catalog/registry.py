@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tidemark.frame import Frame
 from tidemark.operators.normalise import minmax
-from tidemark.operators.order import with_position
 from tidemark.session import materialise, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,5 +132,3 @@ PARTS_SQL = """pt AS (
          (CAST(p_size AS DOUBLE) - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS a,
          (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) AS b
   FROM part)"""
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["with_position"]

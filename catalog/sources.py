@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import *  # noqa: F403
 from catalog.registry import MODELS, SCORED_SQL, TWO_SQL, events, query, r, scratch, table, two_models
 from tidemark.functions import scalars
 from tidemark.operators.encode import encode_category
