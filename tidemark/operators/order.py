@@ -23,7 +23,7 @@ _IN_PARTITION = (1 << 33) - 1  # low 33 bits of monotonically_increasing_id
 
 
 def _sorted_slots(df: DataFrame, keys: Sequence) -> DataFrame:
-    """Range-partition and sort by ``keys``; ``_slot`` = sorted partition, ``_at`` = row in it."""
+    """Range-partition and sort by ``keys``; ``_slot`` = sorted partition, ``_in_slot`` = row in it."""
     parts = shuffle_partitions(df.sparkSession)
     ranged = (
         df.repartitionByRange(parts, *keys)
@@ -34,7 +34,7 @@ def _sorted_slots(df: DataFrame, keys: Sequence) -> DataFrame:
     return frozen.withColumns(
         {
             "_slot": F.shiftright("_mid", 33),
-            "_at": F.col("_mid").bitwiseAND(F.lit(_IN_PARTITION)),
+            "_in_slot": F.col("_mid").bitwiseAND(F.lit(_IN_PARTITION)),
         }
     ).drop("_mid")
 
@@ -58,11 +58,11 @@ def number_rows(
     counts = slots.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).toPandas()
     total = int(counts["_n"].sum())
     if total == 0:
-        return slots.drop("_slot", "_at").withColumn(pos, F.lit(0).cast("bigint")), 0
+        return slots.drop("_slot", "_in_slot").withColumn(pos, F.lit(0).cast("bigint")), 0
     out = (
         _join_offsets(slots, counts, ["_n"])
-        .withColumn(pos, F.col("_before__n") + F.col("_at"))
-        .drop("_slot", "_at", "_before__n")
+        .withColumn(pos, F.col("_before__n") + F.col("_in_slot"))
+        .drop("_slot", "_in_slot", "_before__n")
     )
     if series:
         first = out.groupBy(*series).agg(F.min(pos).alias("_first"))
@@ -81,9 +81,9 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sums: dict[str, str]) -> Data
     slots = _sorted_slots(df, order_by)
     per_slot = slots.groupBy("_slot").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).toPandas()
     if per_slot.empty:
-        return slots.drop("_slot", "_at").select("*", *[F.lit(0).alias(n) for n in sums])
+        return slots.drop("_slot", "_in_slot").select("*", *[F.lit(0).alias(n) for n in sums])
     # running totals only inside a slot, so no task ever holds more than one range partition
-    w = Window.partitionBy("_slot").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_slot").orderBy("_in_slot").rowsBetween(Window.unboundedPreceding, 0)
     joined = _join_offsets(slots, per_slot, list(sums))
     return joined.select(
         *df.columns,
