@@ -115,9 +115,9 @@ WITH {RUNS_SQL}, g AS (SELECT (epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ro
 SELECT round(avg(s), 4) AS avg_time_between_anomalies, round(min(s), 5) AS min_time_between_anomalies,
   round(max(s), 5) AS max_time_between_anomalies FROM g""")
 def anomaly_gaps(spark, sf):
-    df, _ = scored_events(spark, sf)
+    df, n = scored_events(spark, sf)
     flagged = df.select("row_id", "ts", flag(F.col("score"), T).alias("pred"))
-    return runs.gaps(flagged).agg(
+    return runs.gaps(flagged, n).agg(
         r(F.avg("seconds"), 4).alias("avg_time_between_anomalies"),
         r(F.min("seconds"), 5).alias("min_time_between_anomalies"),
         r(F.max("seconds"), 5).alias("max_time_between_anomalies"),

@@ -9,7 +9,7 @@ from catalog.registry import (
 )
 from tidemark.functions.scalars import flag
 from tidemark.operators import runs, sequences, series
-from tidemark.operators.order import over_blocks, prefix_sums
+from tidemark.operators.order import over_blocks, prefix_sums, running_totals
 from tidemark.session import materialise
 
 
@@ -26,10 +26,17 @@ def block_windows(spark, sf):
 
 
 @query("running_totals", f"""WITH {LINES_SQL} SELECT row_id, sum(l_quantity) OVER (ORDER BY row_id) AS total FROM li""")
-def running_totals(spark, sf):
+def sorted_running_totals(spark, sf):
     return prefix_sums(lines(spark, sf).df, ["row_id"], {"total": "l_quantity"}).select("row_id", "total")
 
 
+@query("running_totals_by_position", f"""WITH {LINES_SQL}
+SELECT row_id, sum(l_quantity) OVER (ORDER BY row_id) AS total FROM li""")
+def running_totals_by_position(spark, sf):
+    f = lines(spark, sf)
+    return running_totals(f.df, f.n, {"total": "l_quantity"}).select("row_id", "total")
+
+
 @query("differences", f"""WITH {SCORED_SQL} SELECT row_id, round(value - lag(value) OVER (ORDER BY row_id), 6) AS step FROM ev""")
 def differences(spark, sf):
     df, n = scored_events(spark, sf)

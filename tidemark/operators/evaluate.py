@@ -172,7 +172,7 @@ def synthetic(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def temporal(df: DataFrame, n: int, threshold: float = 0.5) -> DataFrame:
     """Gaps between anomalies, episode durations and temporal spread (NULL when undefined)."""
     flagged = df.select("row_id", "ts", flag(F.col("score"), threshold).alias("pred"))
-    between = gaps(flagged).agg(
+    between = gaps(flagged, n).agg(
         F.avg("seconds").alias("avg_time_between_anomalies"),
         F.min("seconds").alias("min_time_between_anomalies"),
         F.max("seconds").alias("max_time_between_anomalies"),

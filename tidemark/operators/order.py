@@ -14,11 +14,13 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialise, parallelism, shuffle_partitions
 
 MIN_BLOCK = 1024
 MAX_BLOCK = 262_144
+DRIVER_BLOCKS = 100_000  # block totals the driver adds up itself
 _IN_PARTITION = (1 << 33) - 1  # low 33 bits of monotonically_increasing_id
 
 
@@ -91,6 +93,41 @@ def prefix_sums(df: DataFrame, order_by: Sequence, sums: dict[str, str]) -> Data
     )
 
 
+def running_totals(df: DataFrame, n: int, sums: dict[str, str], pos: str = "row_id") -> DataFrame:
+    """Inclusive running totals of a table that already has dense positions ``pos``.
+
+    Nothing is sorted globally: totals per block are small, their own running
+    totals (by the same method while there are many blocks) become offsets, and
+    a window inside each block adds the rest.
+    """
+    size = block_rows(df.sparkSession, n, 0)
+    blocks = -(-max(n, 1) // size)
+    with_block = df.withColumn("_block", F.floor(F.col(pos) / size))
+    per_block = with_block.groupBy("_block").agg(*[F.sum(c).alias(f"_sum_{c}") for c in set(sums.values())])
+    inclusive = {f"_upto_{c}": f"_sum_{c}" for c in set(sums.values())}
+    if blocks > DRIVER_BLOCKS:
+        offsets = running_totals(per_block, blocks, inclusive, "_block").select(
+            "_block", *[(F.col(f"_upto_{c}") - F.col(f"_sum_{c}")).alias(f"_before_{c}") for c in set(sums.values())]
+        )
+    else:
+        totals = per_block.toPandas().sort_values("_block")
+        for c in set(sums.values()):
+            totals[f"_before_{c}"] = totals[f"_sum_{c}"].cumsum() - totals[f"_sum_{c}"]
+        keep = totals[["_block", *[f"_before_{c}" for c in set(sums.values())]]]
+        schema = T.StructType(
+            [T.StructField("_block", T.LongType())]
+            + [
+                T.StructField(f"_before_{c}", per_block.schema[f"_sum_{c}"].dataType)
+                for c in set(sums.values())
+            ]
+        )
+        offsets = F.broadcast(df.sparkSession.createDataFrame(keep, schema))
+    w = Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    return with_block.join(offsets, "_block").select(
+        *df.columns, *[(F.sum(c).over(w) + F.col(f"_before_{c}")).alias(new) for new, c in sums.items()]
+    )
+
+
 def block_rows(spark, n: int, halo: int) -> int:
     """Rows per block: enough blocks for the cluster, halo at most a quarter of a block."""
     share = -(-max(n, 1) // (2 * parallelism(spark)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import number_rows, over_blocks, prefix_sums
+from tidemark.operators.order import over_blocks, running_totals
 
 
 def with_previous(df: DataFrame, n: int, columns: dict[str, str], pos: str = "row_id") -> DataFrame:
@@ -22,7 +22,7 @@ def run_ids(df: DataFrame, n: int, flags: dict[str, str]) -> DataFrame:
         f"_start_{new}": ((F.col(flag) == 1) & (F.coalesce(F.col(f"_prev_{new}"), F.lit(0)) == 0)).cast("bigint")
         for new, flag in flags.items()
     }
-    summed = prefix_sums(held.withColumns(starts), ["row_id"], {new: f"_start_{new}" for new in flags})
+    summed = running_totals(held.withColumns(starts), n, {new: f"_start_{new}" for new in flags})
     return summed.withColumns(
         {new: F.when(F.col(flag) == 1, F.col(new)) for new, flag in flags.items()}
     ).select(*df.columns, *flags)
@@ -35,13 +35,13 @@ def episodes(df: DataFrame, n: int, pred: str = "pred", ts: str = "ts") -> DataF
     table ends at the last timestamp.  Only rows where the flag changes are kept.
     """
     held = with_previous(df.select("row_id", ts, pred), n, {"_prev": pred})
-    turns = held.where(F.col(pred) != F.coalesce(F.col("_prev"), F.lit(0))).withColumn(
-        "_start", F.col(pred).cast("bigint")
-    )
+    turned = F.col(pred) != F.coalesce(F.col("_prev"), F.lit(0))
+    starts = held.withColumn("_start", (turned & (F.col(pred) == 1)).cast("bigint"))
     last = df.agg(F.max(F.struct("row_id", F.col(ts).alias("t"))).alias("m")).first()["m"]
     last_ts = F.lit(last["t"] if last else None).cast("timestamp")
     return (
-        prefix_sums(turns, ["row_id"], {"run_id": "_start"})
+        running_totals(starts, n, {"run_id": "_start"})
+        .where(turned)
         .groupBy("run_id")
         .agg(
             F.max(F.when(F.col(pred) == 1, F.col(ts))).alias("start_ts"),
@@ -51,10 +51,11 @@ def episodes(df: DataFrame, n: int, pred: str = "pred", ts: str = "ts") -> DataF
     )
 
 
-def gaps(df: DataFrame, pred: str = "pred", ts: str = "ts") -> DataFrame:
+def gaps(df: DataFrame, n: int, pred: str = "pred", ts: str = "ts") -> DataFrame:
     """Seconds between consecutive flagged rows."""
-    flagged, n = number_rows(df.where(F.col(pred) == 1).select("row_id", ts), ["row_id"], pos="_at")
-    held = with_previous(flagged, n, {"_prev": ts}, pos="_at")
+    counted = running_totals(df.withColumn("_hit", F.col(pred).cast("bigint")), n, {"_nth": "_hit"})
+    flagged = counted.where(F.col(pred) == 1).select("row_id", ts, (F.col("_nth") - 1).alias("_nth"))
+    held = with_previous(flagged, n, {"_prev": ts}, pos="_nth")
     return held.where(F.col("_prev").isNotNull()).select(
         "row_id", seconds_between(F.col("_prev"), F.col(ts)).alias("seconds")
     )

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import over_blocks, pack_blocks, prefix_sums
+from tidemark.operators.order import over_blocks, pack_blocks, running_totals
 from tidemark.operators.quantile import median
 from tidemark.session import materialise
 
@@ -27,8 +27,9 @@ def moving_sum(df: DataFrame, n: int, before: int, after: int, y: str = "y", out
         return over_blocks(df, n, frame, before, after)
     mean = df.agg(F.avg(y)).first()[0] or 0.0
     totals = materialise(
-        prefix_sums(df.select("row_id", (F.col(y) - F.lit(mean)).alias("_c")), ["row_id"], {"_upto": "_c"})
-        .select("row_id", "_upto"),
+        running_totals(df.select("row_id", (F.col(y) - F.lit(mean)).alias("_c")), n, {"_upto": "_c"}).select(
+            "row_id", "_upto"
+        ),
         "totals",
     )
     ahead = totals.select((F.col("row_id") - after).alias("row_id"), F.col("_upto").alias("_high"))
