@@ -102,6 +102,22 @@ def dbscan(spark, sf):
     return scores.select("row_id", r("score", 5).alias("score"))
 
 
+@query("dbscan_noise", f"""WITH {DBSCAN_SQL} SELECT x.row_id, CAST(coalesce(g > 0.0237, false) AS INTEGER) AS noise
+FROM x LEFT JOIN gap USING (row_id)""")
+def dbscan_noise(spark, sf):
+    """Rows that belong to no cluster; the clusters themselves come from connected components."""
+    df = parts(spark, sf)
+    frame = Frame(df, ("p_size", "p_retailprice"), df.count())
+    found = registry.create("dbscan", eps=0.0237, min_samples=5).labels(frame)
+    return found.select("row_id", (F.col("cluster") < 0).cast("int").alias("noise"))
+
+
+@query("dbscan_cluster_sizes")
+def dbscan_cluster_sizes(spark, sf):
+    found = registry.create("dbscan", eps=0.1).labels(lines(spark, sf))
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("seasonal_detector", f"""WITH {HOURLY_SQL}, {seasonal_sql(24)}, {clip_sql('re')}
 SELECT row_id, round(score, 5) AS score FROM cl""")
 def seasonal_detector(spark, sf):

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tidemark.detectors.base import Detector
 from tidemark.frame import Frame
+from tidemark.operators.components import components
 from tidemark.operators.linalg import fit_pca
-from tidemark.operators.neighbours import Points, distinct_points, knn_points
+from tidemark.operators.neighbours import Points, distinct_points, knn_points, radius_links
+from tidemark.operators.order import number_rows
 from tidemark.operators.sampling import hashed_share
 from tidemark.operators.scale import scale
 from tidemark.operators.skew import join_unique
@@ -291,6 +293,11 @@ class LocalOutlierFactor(Detector):
 # ---------------------------------------------------------------- DBSCAN
 
 
+def _cell_side(eps: float, d: int) -> float:
+    """Side of a grid cell whose diagonal stays below eps."""
+    return eps / math.sqrt(d) * (1 - 1e-9)
+
+
 def core_points(points: Points, d: int, eps: float, min_samples: int) -> DataFrame:
     """pid, v, core.  Copies and crowded grid cells settle most points without distances.
 
@@ -298,8 +305,7 @@ def core_points(points: Points, d: int, eps: float, min_samples: int) -> DataFra
     cell with ``min_samples`` rows holds only core points.  The rest ask for their
     ``min_samples`` nearest rows within eps.
     """
-    side = eps / math.sqrt(d) * (1 - 1e-9)
-    cells = F.transform("v", lambda x: F.floor(x / F.lit(side)))
+    cells = F.transform("v", lambda x: F.floor(x / F.lit(_cell_side(eps, d))))
     crowded = points.table.withColumn("_cell", cells)
     totals = crowded.groupBy("_cell").agg(F.sum("copies").alias("_rows"))
     placed = materialise(
@@ -351,6 +357,40 @@ class Dbscan(Detector):
         return points.spread(scores).select("row_id", "raw")
 
 
+    def labels(self, frame: Frame) -> DataFrame:
+        """Cluster number per row in order of each cluster's first core row; -1 is noise.
+
+        A border row joins the cluster of its nearest core point.
+        """
+        scaled = unit_scaled(frame)
+        eps, need, d = self.options["eps"], self.options["min_samples"], len(frame.features)
+        points = distinct_points(scaled.df, scaled.vector(), keep=need)
+        flagged = materialise(core_points(points, d, eps, need), "core")
+        cells = F.transform("v", lambda x: F.floor(x / F.lit(_cell_side(eps, d))))
+        cores = flagged.where("core").select("pid", "v", "ids", cells.alias("_cell"))
+        # core points of one cell are always connected, so a cell is one node
+        nodes = cores.groupBy("_cell").agg(F.min("pid").alias("node"))
+        n_cores = cores.count()
+        cores = materialise(join_unique(cores, nodes, "_cell", n_cores).drop("_cell"), "core-nodes")
+        roots = components(radius_links(cores, n_cores, eps))
+        placed = materialise(
+            cores.join(roots, "node", "left").select("pid", "v", "ids", F.coalesce("root", "node").alias("root")),
+            "core-roots",
+        )
+        firsts = placed.groupBy("root").agg(F.min("pid").alias("first"))
+        numbers, _ = number_rows(firsts, ["first"], pos="cluster")
+        near = knn_points(
+            flagged.where(~F.col("core")).select("pid", "v"), placed.select("pid", "v", "ids"), n_cores, 1, radius=eps
+        )
+        border = near.select("pid", F.col("nbr")).join(placed.select(F.col("pid").alias("nbr"), "root"), "nbr")
+        known = placed.select("pid", "root").unionByName(border.select("pid", "root"))
+        known = known.join(numbers.select("root", "cluster"), "root")
+        per_point = flagged.select("pid").join(known, "pid", "left")
+        return points.spread(per_point).select(
+            "row_id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")
+        )
+
+
 # ---------------------------------------------------------------- Gaussian mixture
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+NARROW = 8  # up to this many columns the products are plain sums
 WIDE = 16  # up to this many columns a projection is written as plain expressions
 
 
@@ -25,6 +26,19 @@ def vector_of(cols: Sequence[str]) -> Column:
 def gram(df: DataFrame, vector: Column, d: int) -> tuple[np.ndarray, int]:
     """Sum of v v' over all rows, and the row count; rows with a NULL vector are skipped."""
 
+    if d <= NARROW:
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = (
+            df.select(vector.alias("v"))
+            .where("v is not null")
+            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v")[i] * F.col("v")[j]) for i, j in pairs])
+            .first()
+        )
+        out = np.zeros((d, d))
+        for (i, j), value in zip(pairs, row[1:]):
+            out[i, j] = out[j, i] = value or 0.0
+        return out, row["n"]
+
     def fold(batches):
         total = np.zeros((d, d))
         rows = 0

@@ -166,14 +166,14 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(33)).astype(np.int64)
 
 
-def _grouped(queries: DataFrame, refs: DataFrame, n_refs: int, k, radius, ref_cols):
+def _grouped(queries: DataFrame, refs: DataFrame, n_refs: int, k, radius, ref_cols, query_cols=()):
     """Co-grouped query and reference chunks, or None if a side is empty."""
     size = min(MAX_PIVOTS, max(1, int(math.sqrt(max(n_refs, 1)) / 4)))
     chosen = md5_sample(refs.select("pid", "v"), "pid", size, n_refs, "pivot").toPandas()
     if chosen.empty:
         return None
     pivots = np.stack(chosen["v"].to_numpy())
-    q = materialise(_to_cells(queries.select("pid", "v"), pivots), "query-cells")
+    q = materialise(_to_cells(queries.select("pid", "v", *query_cols), pivots), "query-cells")
     r = materialise(_to_cells(refs.select("pid", "v", *ref_cols), pivots), "ref-cells")
     stats = [t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toPandas() for t in (q, r)]
     if stats[0].empty:
@@ -189,7 +189,7 @@ def _grouped(queries: DataFrame, refs: DataFrame, n_refs: int, k, radius, ref_co
             .toPandas()
         )
     layout = _layout(pivots, *stats, nearest, k, radius)
-    left = q.select(F.explode(_group_keys(layout, "query")("pid", "cell", "far")).alias("group"), "pid", "v")
+    left = q.select(F.explode(_group_keys(layout, "query")("pid", "cell", "far")).alias("group"), "pid", "v", *query_cols)
     right = r.select(
         F.explode(_group_keys(layout, "ref")("pid", "cell", "far")).alias("group"),
         F.col("pid").alias("nbr"), "v", *ref_cols,
@@ -287,6 +287,45 @@ def radius_counts_points(queries: DataFrame, refs: DataFrame, n_refs: int, radiu
     return groups.applyInPandas(tally, "pid bigint, n bigint").groupBy("pid").agg(F.sum("n").alias("n"))
 
 
+def radius_links(points: DataFrame, n: int, radius: float) -> DataFrame:
+    """Edges (a, b) that connect the same ``node`` values as all pairs within ``radius``.
+
+    ``points`` has pid, v, node.  A task returns a spanning forest of its chunk
+    pair, at most one edge per node, never the pairs themselves.
+    """
+
+    def forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []})
+        x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
+        nodes, at = np.unique(np.concatenate([left["node"], right["node"]]), return_inverse=True)
+        at_x, at_y = at[: len(x)], at[len(x) :]
+        root = np.arange(len(nodes))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for part, d2, tolerance in _distances(x, y):
+            row, col = np.nonzero(d2 <= radius**2 + tolerance)
+            exact = np.sqrt(((x[part][row] - y[col]) ** 2).sum(1)) <= radius
+            pairs = np.unique(at_x[part][row[exact]] * len(nodes) + at_y[col[exact]])
+            for i, j in zip(pairs // len(nodes), pairs % len(nodes)):
+                i, j = find(i), find(j)
+                if i != j:
+                    root[max(i, j)] = min(i, j)
+        top = np.array([find(i) for i in range(len(nodes))])
+        moved = top != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[top[moved]]})
+
+    groups = _grouped(points, points, n, None, radius, ["node"], ["node"])
+    if groups is None:
+        return points.sparkSession.createDataFrame([], "a bigint, b bigint")
+    return groups.applyInPandas(forest, "a bigint, b bigint")
+
+
 def knn_join(df: DataFrame, vector: Column, k: int, row_id: str = "row_id") -> DataFrame:
     """Exact k nearest other rows of every row: row_id, nbr_id, dist, rank."""
     points = distinct_points(df, vector, row_id, keep=k + 1)

@@ -106,8 +106,9 @@ def running_totals(df: DataFrame, n: int, sums: dict[str, str], pos: str = "row_
     per_block = with_block.groupBy("_block").agg(*[F.sum(c).alias(f"_sum_{c}") for c in set(sums.values())])
     inclusive = {f"_upto_{c}": f"_sum_{c}" for c in set(sums.values())}
     if blocks > DRIVER_BLOCKS:
-        offsets = running_totals(per_block, blocks, inclusive, "_block").select(
-            "_block", *[(F.col(f"_upto_{c}") - F.col(f"_sum_{c}")).alias(f"_before_{c}") for c in set(sums.values())]
+        nested = running_totals(per_block.withColumnRenamed("_block", "_nth"), blocks, inclusive, "_nth")
+        offsets = nested.select(
+            F.col("_nth").alias("_block"), *[(F.col(f"_upto_{c}") - F.col(f"_sum_{c}")).alias(f"_before_{c}") for c in set(sums.values())]
         )
     else:
         totals = per_block.toPandas().sort_values("_block")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.order import number_rows
 
-SMALL = 500_000  # values the built-in exact percentile may hold in one task
+SMALL = 2_000_000  # values the built-in exact percentile may hold in one task
 _ACCURACY = 10_000
 
 
@@ -85,47 +85,51 @@ def _order_statistics(df, wanted, counts, small):
                 break
         targets = list(live)
         margin = 2.0 / _ACCURACY
+        # targets that share an interval share one sketch
+        shared: dict[tuple, list] = {}
+        for t in targets:
+            shared.setdefault((t[0], *live[t][:2]), []).append(t)
         sketches = []
-        for i, t in enumerate(targets):
-            low, high, below, inside = live[t]
-            q = (t[1] - below) / inside
-            ends = F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin)))
-            sketches.append(
-                F.percentile_approx(_inside(t[0], low, high), ends, _ACCURACY).alias(f"t{i}")
-            )
+        for i, ((c, low, high), members) in enumerate(shared.items()):
+            ends = []
+            for t in members:
+                q = (t[1] - live[t][2]) / live[t][3]
+                ends += [F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))]
+            sketches.append(F.percentile_approx(_inside(c, low, high), F.array(*ends), _ACCURACY).alias(f"s{i}"))
         row = df.agg(*sketches).first()
+        ends_of = {}
+        for i, members in enumerate(shared.values()):
+            for j, t in enumerate(members):
+                ends_of[t] = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
+        edges = sorted({(t[0], v) for t, pair in ends_of.items() for v in pair})
         tallies = []
-        for i, t in enumerate(targets):
-            a, b = row[f"t{i}"]
-            v = F.col(t[0]).cast("double")
-            tallies += [
-                F.count_if(v < a).alias(f"lt_a{i}"),
-                F.count_if(v <= a).alias(f"le_a{i}"),
-                F.count_if(v < b).alias(f"lt_b{i}"),
-                F.count_if(v <= b).alias(f"le_b{i}"),
-            ]
-        tally = df.agg(*tallies).first()
-        for i, t in enumerate(targets):
+        for i, (c, v) in enumerate(edges):
+            x = F.col(c).cast("double")
+            tallies += [F.count_if(x < F.lit(v)).alias(f"lt{i}"), F.count_if(x <= F.lit(v)).alias(f"le{i}")]
+        counted = df.agg(*tallies).first()
+        lt = {e: counted[f"lt{i}"] for i, e in enumerate(edges)}
+        le = {e: counted[f"le{i}"] for i, e in enumerate(edges)}
+        for t in targets:
+            c, rank = t
             low, high, below, inside = live[t]
-            a, b = row[f"t{i}"]
-            rank = t[1]
-            if rank < tally[f"lt_a{i}"]:
-                live[t] = (low, a, below, tally[f"lt_a{i}"] - below)
-            elif rank < tally[f"le_a{i}"]:
+            a, b = ends_of[t]
+            if rank < lt[c, a]:
+                live[t] = (low, a, below, lt[c, a] - below)
+            elif rank < le[c, a]:
                 found[t] = a
-            elif rank < tally[f"lt_b{i}"]:
-                live[t] = (a, b, tally[f"le_a{i}"], tally[f"lt_b{i}"] - tally[f"le_a{i}"])
-            elif rank < tally[f"le_b{i}"]:
+            elif rank < lt[c, b]:
+                live[t] = (a, b, le[c, a], lt[c, b] - le[c, a])
+            elif rank < le[c, b]:
                 found[t] = b
             else:
-                live[t] = (b, high, tally[f"le_b{i}"], below + inside - tally[f"le_b{i}"])
+                live[t] = (b, high, le[c, b], below + inside - le[c, b])
             if t in found:
                 del live[t]
     return found
 
 
-def median(df: DataFrame, col: str) -> float | None:
-    return quantiles(df, [col], [0.5])[col][0]
+def median(df: DataFrame, col: str, n: int | None = None) -> float | None:
+    return quantiles(df, [col], [0.5], n=n)[col][0]
 
 
 def quantiles_by(
