@@ -41,7 +41,7 @@ def test_scores_are_in_range(spark, shifted, name):
 
 @pytest.mark.parametrize("name, options", [
     ("isolation_forest", {}), ("one_class_svm", {}), ("one_class_svm", {"kernel": "linear"}),
-    ("local_outlier_factor", {"n_neighbors": 30}), ("dbscan", {"eps": 0.1, "min_samples": 20}),
+    ("local_outlier_factor", {"n_neighbors": 30}), ("dbscan", {"eps": 0.25, "min_samples": 13}),
 ])
 def test_outliers_score_higher(spark, shifted, name, options):
     s = scores_of(registry.create(name, **options), make_frame(spark, shifted))

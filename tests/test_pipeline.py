@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.detectors import registry
@@ -196,6 +197,13 @@ def test_ordered_features_never_use_one_partition(spark, sf):
         assert "CartesianProduct" not in plan_of(df) and "NestedLoop" not in plan_of(df)
 
 
+def test_copies_are_cut_before_the_shuffle(spark):
+    df = spark.range(1000).select(F.col("id").alias("row_id"), F.array((F.col("id") % 3).cast("double")).alias("v"))
+    w = Window.partitionBy("v").orderBy("row_id")
+    plan = plan_of(df.repartition(4).withColumn("r", F.row_number().over(w)).where("r <= 3"))
+    assert plan.count("WindowGroupLimit") == 2  # before and after the exchange
+
+
 def test_columns_are_pruned(spark, sf):
     e = readers.read_events(spark, f"{sf}/events.parquet")
     plan = plan_of(e.where(F.col("value") > 10).select("value", "hour"))

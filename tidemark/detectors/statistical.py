@@ -76,7 +76,7 @@ class IsolationForest(Detector):
         dealt = dealt.repartition(shuffle_partitions(frame.df.sparkSession), "tree")
         sample = dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
 
-        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.stack(pdf.sort_values("row_id")["v"].to_numpy())
             rng = np.random.default_rng([seed, int(key[0])])
             limit = math.ceil(math.log2(max(len(x), 2)))

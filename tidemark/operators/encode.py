@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.order import number_rows
 
-BROADCAST_ROWS = 100_000  # dictionaries up to this size are broadcast
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20  # dictionaries up to this size are broadcast
 
 
 def encode_category(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -15,7 +15,7 @@ def encode_category(df: DataFrame, col: str, out: str | None = None) -> DataFram
     out = out or f"{col}_encoded"
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("_value")).distinct()
     dictionary, size = number_rows(values, ["_value"], pos="_code")
-    if size <= BROADCAST_ROWS:
+    if size <= BROADCAST_ROWS and (dictionary.agg(F.sum(F.octet_length("_value"))).first()[0] or 0) <= BROADCAST_BYTES:
         dictionary = F.broadcast(dictionary)
     joined = df.join(dictionary, df[col] == F.col("_value"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_value", "_code")

@@ -20,7 +20,7 @@ from tidemark.operators.order import number_rows
 from tidemark.operators.scale import scale
 from tidemark.plans.selection import select_models
 from tidemark.session import materialise
-from tidemark.sources.readers import TIMESTAMP_NAMES, detect_timestamp, read_events
+from tidemark.sources.readers import TIMESTAMP_NAMES, detect_timestamp, nan_to_null, read_events
 from tidemark.sources.sinks import summary_table, write_scores, write_summary
 
 # fixed values: default preprocessing options
@@ -73,7 +73,7 @@ def prepare(
     order = list(order_by or [*([ts] if ts else []), *[c for c in df.columns if c != ts]])
     types = {f.name: f.dataType for f in df.schema}
     keep = list(dict.fromkeys([*order, *([ts] if ts else []), *([label_col] if label_col else []), *cols]))
-    rows = df.select(*keep)
+    rows = nan_to_null(df.select(*keep))
     if o["missing_strategy"] == "drop":
         rows = impute(rows, cols, "drop")
     rows, n = number_rows(rows, order)

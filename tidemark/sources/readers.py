@@ -137,7 +137,10 @@ def read_events(
     **options,
 ) -> DataFrame:
     """Read an event table: guard, timestamp parts, and the fields of its log family."""
-    df = nan_to_null(read_table(spark, path, fmt, schema, **options))
+    fmt = fmt or _format_of(path if isinstance(path, str) else path[0])
+    df = read_table(spark, path, fmt, schema, **options)
+    if fmt != "parquet":  # Parquet keeps its plain columns, so that filters reach the scan
+        df = nan_to_null(df)
     if series_by_file:
         df = df.withColumn("series", F.col("_metadata.file_path"))
     if df.isEmpty():
