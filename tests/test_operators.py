@@ -316,3 +316,19 @@ def test_hot_keys_are_split(spark, monkeypatch):
     out = join_unique(left, right, "k", 60_000)
     assert out.count() == 60_000
     assert out.where("v <> 2 * k").count() == 0
+
+
+def test_far_clusters_leave_empty_groups(spark, monkeypatch):
+    """Groups that no reference row reaches must not break the join."""
+    monkeypatch.setattr(neighbours, "REF_CHUNK", 8)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([c * 100.0 + rng.normal(size=(30, 2)) for c in range(6)])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "pid bigint, v array<double>")
+    refs = df.withColumn("ids", F.array("pid")).withColumn("copies", F.lit(1))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = neighbours.knn_points(df, refs, 180, 4, radius=0.5).groupBy("pid").count().toPandas().set_index("pid")["count"]
+    assert near.sort_index().tolist() == np.minimum((d <= 0.5).sum(1), 4).tolist()
+    counts = neighbours.radius_counts_points(df, refs, 180, 0.5).toPandas().set_index("pid")["n"]
+    assert counts.sort_index().tolist() == (d <= 0.5).sum(1).tolist()
+    links = neighbours.radius_links(df.withColumn("node", F.col("pid")), 180, 0.5).toPandas()
+    assert (d[links["a"], links["b"]] >= 0).all() and (links["a"] // 30 == links["b"] // 30).all()

@@ -23,6 +23,7 @@ from tidemark.operators.skew import join_unique
 from tidemark.session import materialise, shuffle_partitions
 
 MAX_PIVOTS = 1024
+LOW_DIMENSION = 8
 QUERY_CHUNK = 2048
 REF_CHUNK = 8192
 _SLACK = 1e-6  # bounds are loosened by this share against rounding
@@ -87,13 +88,26 @@ def _to_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 class _Layout:
     """Which (query cell, query chunk, reference bin) groups exist, and who joins them."""
 
-    reach: np.ndarray  # [query cell, ref cell]: smallest `far` of a ref that can matter
+    pivots: np.ndarray
+    bound: np.ndarray  # per query cell: no neighbour that counts is farther than this
+    ball: np.ndarray  # per query cell: distance from its pivot within which such rows lie
+    slack: float
     q_chunks: np.ndarray
     bin_of: list[np.ndarray]  # per ref cell: bins of its sub-chunks
     bins_for: list[np.ndarray]  # per query cell
     n_bins: int
     max_chunks: int
 
+    def wanted(self, x: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """[row, query cell]: can this reference row be a neighbour of a query there?
+
+        It must lie in the ball around the cell's pivot, and, as the queries are closer to
+        that pivot than to the row's own, not more than twice the bound beyond its own distance.
+        """
+        d2 = (x**2).sum(1)[:, None] - 2 * x @ self.pivots.T + (self.pivots**2).sum(1)[None, :]
+        edge = np.minimum(self.ball[None, :], far[:, None] + 2 * self.bound[None, :])
+        return np.sqrt(np.maximum(d2, 0.0)) <= edge + self.slack
+
     def code(self, cell, chunk, bin_):
         return (cell * self.max_chunks + chunk) * self.n_bins + bin_
 
@@ -114,8 +128,7 @@ def _layout(pivots, q_stats, r_stats, nearest, k, radius) -> _Layout:
             upper = np.partition(gap[c, n_cell] + n_far, k - 1)[k - 1] + q_far[c]
             bound[c] = min(bound[c], upper)
     slack = _SLACK * (1.0 + gap.max() + max(q_far.max(), r_far.max()))
-    reach = gap - (q_far + bound)[:, None] - slack
-    reach[q_count == 0, :] = np.inf
+    bound[q_count == 0] = -np.inf
     q_chunks = np.maximum(1, -(-q_count // QUERY_CHUNK))
     bin_of, filled, current = [], 0, 0
     for c in range(m):
@@ -128,12 +141,13 @@ def _layout(pivots, q_stats, r_stats, nearest, k, radius) -> _Layout:
             mine.append(current)
             filled += each
         bin_of.append(np.array(mine))
-    usable = (reach <= r_far[None, :]) & (r_count > 0)[None, :]
+    edge = np.minimum((q_far + bound)[:, None], r_far[None, :] + 2 * bound[:, None])
+    usable = (gap - r_far[None, :] <= edge + slack) & (r_count > 0)[None, :]
     bins_for = [
         np.unique(np.concatenate([bin_of[r] for r in np.flatnonzero(row)])) if row.any() else np.array([], int)
         for row in usable
     ]
-    return _Layout(reach, q_chunks, bin_of, bins_for, current + 1, int(q_chunks.max()))
+    return _Layout(pivots, bound, q_far + bound, slack, q_chunks, bin_of, bins_for, current + 1, int(q_chunks.max()))
 
 
 def _group_keys(layout: _Layout, side: str):
@@ -145,17 +159,17 @@ def _group_keys(layout: _Layout, side: str):
         )
 
     @F.pandas_udf("array<bigint>")
-    def ref_keys(pid: pd.Series, cell: pd.Series, far: pd.Series) -> pd.Series:
-        out = []
+    def ref_keys(pid: pd.Series, cell: pd.Series, far: pd.Series, v: pd.Series) -> pd.Series:
+        if not len(pid):
+            return pd.Series([], dtype=object)
         mixed = _mix(pid.to_numpy())
-        for p, r, f in zip(mixed, cell.to_numpy(), far.to_numpy()):
-            bin_ = layout.bin_of[r][p % len(layout.bin_of[r])]
-            cells = np.flatnonzero(layout.reach[:, r] <= f)
-            chunks = layout.q_chunks[cells]
-            at = np.repeat(cells, chunks)
-            within = np.arange(len(at)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            out.append(layout.code(at, within, bin_))
-        return pd.Series(out)
+        bins = np.array([layout.bin_of[r][p % len(layout.bin_of[r])] for p, r in zip(mixed, cell.to_numpy())])
+        row, to = np.nonzero(layout.wanted(np.stack(v.to_numpy()), far.to_numpy()))
+        chunks = layout.q_chunks[to]
+        row, to = np.repeat(row, chunks), np.repeat(to, chunks)
+        within = np.arange(len(to)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        keys = layout.code(to, within, bins[row])
+        return pd.Series(np.split(keys, np.searchsorted(row, np.arange(1, len(pid)))))
 
     return query_keys if side == "query" else ref_keys
 
@@ -168,11 +182,16 @@ def _mix(ids: np.ndarray) -> np.ndarray:
 
 def _grouped(queries: DataFrame, refs: DataFrame, n_refs: int, k, radius, ref_cols, query_cols=()):
     """Co-grouped query and reference chunks, or None if a side is empty."""
-    size = min(MAX_PIVOTS, max(1, int(math.sqrt(max(n_refs, 1)) / 4)))
+    size = min(MAX_PIVOTS, max(1, int(math.sqrt(max(n_refs, 1)))))
     chosen = md5_sample(refs.select("pid", "v"), "pid", size, n_refs, "pivot").toPandas()
     if chosen.empty:
         return None
     pivots = np.stack(chosen["v"].to_numpy())
+    if pivots.shape[1] > LOW_DIMENSION:
+        # bounds prune little in many dimensions, and every cell is one more copy of the references
+        pivots = pivots[: max(1, size // 4)]
+    # neighbouring cells get neighbouring numbers, so that they share bins
+    pivots = pivots[np.argsort(pivots[:, pivots.var(axis=0).argmax()], kind="stable")]
     q = materialise(_to_cells(queries.select("pid", "v", *query_cols), pivots), "query-cells")
     r = materialise(_to_cells(refs.select("pid", "v", *ref_cols), pivots), "ref-cells")
     stats = [t.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).toPandas() for t in (q, r)]
@@ -191,7 +210,7 @@ def _grouped(queries: DataFrame, refs: DataFrame, n_refs: int, k, radius, ref_co
     layout = _layout(pivots, *stats, nearest, k, radius)
     left = q.select(F.explode(_group_keys(layout, "query")("pid", "cell", "far")).alias("group"), "pid", "v", *query_cols)
     right = r.select(
-        F.explode(_group_keys(layout, "ref")("pid", "cell", "far")).alias("group"),
+        F.explode(_group_keys(layout, "ref")("pid", "cell", "far", "v")).alias("group"),
         F.col("pid").alias("nbr"), "v", *ref_cols,
     )
     parts = shuffle_partitions(queries.sparkSession)
@@ -208,6 +227,10 @@ def _distances(x: np.ndarray, y: np.ndarray, step: int = 512):
         yield part, np.maximum(d2, 0.0), 1e-9 * (xx[part].max() + yy.max() + 1e-300)
 
 
+def _no_rows(**types: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(dtype=t) for c, t in types.items()})
+
+
 _KNN_SCHEMA = "pid bigint, nbr bigint, dist double, ids array<bigint>"
 
 
@@ -220,7 +243,7 @@ def knn_points(queries: DataFrame, refs: DataFrame, n_refs: int, k: int, radius:
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"pid": [], "nbr": [], "dist": [], "ids": []})
+            return _no_rows(pid="int64", nbr="int64", dist="float64", ids="object")
         right = right.sort_values("nbr", ignore_index=True)
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         pid, nbr, ids = left["pid"].to_numpy(), right["nbr"].to_numpy(), right["ids"].to_numpy()
@@ -269,7 +292,7 @@ def radius_counts_points(queries: DataFrame, refs: DataFrame, n_refs: int, radiu
 
     def tally(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"pid": [], "n": []})
+            return _no_rows(pid="int64", n="int64")
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         copies = right["copies"].to_numpy()
         out = np.zeros(len(x), dtype=np.int64)
@@ -296,7 +319,7 @@ def radius_links(points: DataFrame, n: int, radius: float) -> DataFrame:
 
     def forest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []})
+            return _no_rows(a="int64", b="int64")
         x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         nodes, at = np.unique(np.concatenate([left["node"], right["node"]]), return_inverse=True)
         at_x, at_y = at[: len(x)], at[len(x) :]
