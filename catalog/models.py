@@ -94,7 +94,8 @@ gap AS (SELECT p.row_id, min(sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b
 
 
 @query("dbscan", f"""WITH {DBSCAN_SQL}, noise AS (SELECT * FROM gap WHERE g > 0.0237)
-SELECT x.row_id, round(coalesce(g / (SELECT max(g) FROM noise), 0), 5) AS score FROM x LEFT JOIN noise USING (row_id)""")
+SELECT x.row_id, CASE WHEN NOT EXISTS (SELECT 1 FROM core) THEN 1.0::DOUBLE
+  ELSE round(coalesce(g / (SELECT max(g) FROM noise), 0), 5) END AS score FROM x LEFT JOIN noise USING (row_id)""")
 def dbscan(spark, sf):
     df = parts(spark, sf)
     frame = Frame(df, ("p_size", "p_retailprice"), df.count())
@@ -102,7 +103,8 @@ def dbscan(spark, sf):
     return scores.select("row_id", r("score", 5).alias("score"))
 
 
-@query("dbscan_noise", f"""WITH {DBSCAN_SQL} SELECT x.row_id, CAST(coalesce(g > 0.0237, false) AS INTEGER) AS noise
+@query("dbscan_noise", f"""WITH {DBSCAN_SQL} SELECT x.row_id,
+  CAST(x.row_id NOT IN (SELECT row_id FROM core) AND coalesce(g > 0.0237, true) AS INTEGER) AS noise
 FROM x LEFT JOIN gap USING (row_id)""")
 def dbscan_noise(spark, sf):
     """Rows that belong to no cluster; the clusters themselves come from connected components."""

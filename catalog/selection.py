@@ -136,7 +136,8 @@ def selection_orthus(spark, sf):
 @query("selection_union", f"""WITH {META_SQL}, b(model, o, s) AS (
   SELECT 'isolation_forest', 0, 3 UNION ALL SELECT 'local_outlier_factor', 3, 2 FROM mt WHERE n > 10000
   UNION ALL SELECT 'dbscan', 4, 1 UNION ALL SELECT 'autoencoder', 6, 1 + CASE WHEN n > 1000 THEN 2 ELSE 0 END FROM mt),
-rk AS (SELECT model, row_number() OVER (ORDER BY s DESC, o) - 1 AS position FROM b)
+c AS (SELECT *, count(*) OVER () AS chosen FROM b),
+rk AS (SELECT model, row_number() OVER (ORDER BY CASE WHEN chosen > 3 THEN -s ELSE 0 END, o) - 1 AS position FROM c)
 SELECT CAST(position AS INTEGER) AS position, model FROM rk WHERE position < 3""")
 def selection_union(spark, sf):
     meta = line_meta(spark, sf)
