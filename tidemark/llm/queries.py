@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.packing import packed_digest
+from tidemark.llm.quality_bands import judge_quality
 from tidemark.llm.substring_dedup import passage_digest
+from tidemark.llm.token_lengths import context_limits, length_histogram, token_lengths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer() -> str:
+    """Vocabulary file of the public tokenizer that the token queries take."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -26,6 +36,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op2_token_lengths")
+def token_length_limits(spark, sf):
+    lengths = token_lengths(table(spark, sf, "documents"), tokenizer())
+    return context_limits(length_histogram(lengths))
+
+
+@query("op5_compression_bands")
+def compression_bands(spark, sf):
+    return judge_quality(table(spark, sf, "documents"))
+
+
+@query("op7_best_two_fit")
+def best_two_fit(spark, sf):
+    return packed_digest(table(spark, sf, "documents"), tokenizer())
+
+
 @query("op8_substring_dedup")
 def substring_dedup(spark, sf):
     return passage_digest(table(spark, sf, "documents"))
