@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.language_id import identify
 from tidemark.llm.packing import packed_digest
 from tidemark.llm.quality_bands import judge_quality
 from tidemark.llm.substring_dedup import passage_digest
 from tidemark.llm.token_lengths import context_limits, length_histogram, token_lengths
+from tidemark.llm.toxicity import fit, rate, severity_grades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,11 +44,22 @@ def token_length_limits(spark, sf):
     return context_limits(length_histogram(lengths))
 
 
+@query("op4_language_filters")
+def language_filters(spark, sf):
+    return identify(table(spark, sf, "documents"))
+
+
 @query("op5_compression_bands")
 def compression_bands(spark, sf):
     return judge_quality(table(spark, sf, "documents"))
 
 
+@query("op6_ordinal_toxicity")
+def ordinal_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return rate(docs, fit(docs, severity_grades(table(spark, sf, "labels"))))
+
+
 @query("op7_best_two_fit")
 def best_two_fit(spark, sf):
     return packed_digest(table(spark, sf, "documents"), tokenizer())

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.session import shuffle_partitions
 
@@ -28,6 +27,7 @@ PER_TASK = 3  # buckets for each shuffle partition, taken one after the other
 PACKED = "bucket int, done boolean, docs binary, counts binary, places binary, keys binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("docs", "counts", "places", "keys"))])
 FOUND = "doc_id long, tag long, places binary"
+LOT = 2_000_000  # found entries a task holds before it deals them to the shards of documents
 _FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
 
 Offer = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -48,9 +48,9 @@ def pack_places(values: np.ndarray) -> bytes:
     return _squeeze(values)
 
 
-def unpack_places(blobs) -> np.ndarray:
-    """Distinct positions of several packed lists."""
-    return np.unique(np.concatenate([_expand(b) for b in blobs])) if len(blobs) else np.zeros(0, np.int64)
+def unpack_places(blob: bytes) -> np.ndarray:
+    """Ascending distinct positions of a document."""
+    return _expand(blob)
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -81,16 +81,23 @@ def _settle(keys, ids, docs, earlier: bool):
     return a, b
 
 
-def _found(doc_ids, tags, docs, places) -> pa.RecordBatch | None:
-    """One row per document; ``docs`` is ascending."""
-    if not len(docs):
-        return None
+def _row(rows: dict[str, list], bucket: int, done: bool, ids, tags, docs, places, keys: bytes) -> None:
+    """``docs`` (ascending) point into ``ids`` and ``tags``."""
     cut = np.flatnonzero(np.diff(docs, prepend=-1))
-    ends = np.append(cut[1:], len(docs))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc_ids[docs[cut]]), pa.array(tags[docs[cut]]), pa.array([pack_places(places[a:b]) for a, b in zip(cut, ends)], pa.binary())],
-        schema=_FOUND,
-    )
+    held = docs[cut]
+    rows["bucket"].append(bucket)
+    rows["done"].append(done)
+    rows["docs"].append(_squeeze(ids[held]) + tags[held].astype(np.uint32).tobytes())
+    rows["counts"].append(_squeeze(np.diff(np.append(cut, len(docs)))))
+    rows["places"].append(_squeeze(places))
+    rows["keys"].append(keys)
+
+
+def _batches(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    if rows["bucket"]:
+        batch = pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _PACKED], schema=_PACKED)
+        for at in range(0, len(batch), 64):
+            yield batch.slice(at, 64)
 
 
 class _Packer:
@@ -115,34 +122,19 @@ class _Packer:
         self.held, self.n = [], 0
         hit, first = _settle(keys, ids[docs], docs, self.earlier)
         rows: dict[str, list] = {c: [] for c in _PACKED.names}
-
-        def row(bucket, done, docs, places, keys):
-            cut = np.flatnonzero(np.diff(docs, prepend=-1))
-            held = docs[cut]
-            rows["bucket"].append(bucket)
-            rows["done"].append(done)
-            rows["docs"].append(_squeeze(ids[held]) + tags[held].astype(np.uint32).tobytes())
-            rows["counts"].append(_squeeze(np.diff(np.append(cut, len(docs)))))
-            rows["places"].append(_squeeze(places))
-            rows["keys"].append(keys)
-
         if hit.any():
             # settled here: no bucket needs them, so they are spread by document
             for lot in np.array_split(np.flatnonzero(hit), max(1, int(hit.sum()) // 50_000)):
-                row(int(docs[lot[0]] * 7919 % self.buckets), True, docs[lot], places[lot], b"")
+                _row(rows, int(docs[lot[0]] * 7919 % self.buckets), True, ids, tags, docs[lot], places[lot], b"")
         keep = np.flatnonzero(first)
         bucket = ((keys[keep] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket.astype(np.int32), kind="stable")
         keep, bucket = keep[order], bucket[order]
         ends = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        for b in range(self.buckets):
+        for b in np.unique(bucket):
             lot = keep[ends[b]: ends[b + 1]]
-            if len(lot):
-                row(b, False, docs[lot], places[lot], (keys[lot] if self.exact else keys[lot].astype(np.uint32)).tobytes())
-        if rows["bucket"]:
-            batch = pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _PACKED], schema=_PACKED)
-            for at in range(0, len(batch), 64):
-                yield batch.slice(at, 64)
+            _row(rows, int(b), False, ids, tags, docs[lot], places[lot], (keys[lot] if self.exact else keys[lot].astype(np.uint32)).tobytes())
+        yield from _batches(rows)
 
 
 def _unpack(row: dict, exact: bool):
@@ -154,60 +146,107 @@ def _unpack(row: dict, exact: bool):
     return ids, tags, np.repeat(np.arange(n), counts), _expand(row["places"]), keys
 
 
-def _reduce(batches, earlier: bool, exact: bool) -> Iterator[pa.RecordBatch]:
+def _join(parts: list, columns: tuple[int, ...]) -> list[np.ndarray]:
+    """Concatenate unpacked rows: document numbers shifted, then the other columns."""
+    shift = np.cumsum([0, *(len(p[0]) for p in parts[:-1])])
+    return [np.concatenate([p[2] + s for p, s in zip(parts, shift)])] + [np.concatenate([p[i] for p in parts]) for i in columns]
+
+
+def _deal(found: list, shards: int) -> Iterator[pa.RecordBatch]:
+    """Found entries to the shards of their documents, one packed row per shard."""
+    if not found:
+        return
+    docs, ids, tags, places = _join(found, (0, 1, 3))
+    rows: dict[str, list] = {c: [] for c in _PACKED.names}
+    shard = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
+    shard = shard.astype(np.int64)[docs]
+    order = np.lexsort((places, docs, shard))
+    docs, places, shard = docs[order], places[order], shard[order]
+    for b in np.unique(shard):
+        low, high = np.searchsorted(shard, b), np.searchsorted(shard, b, "right")
+        _row(rows, int(b), True, ids, tags, docs[low:high], places[low:high], b"")
+    yield from _batches(rows)
+
+
+def _reduce(batches, earlier: bool, exact: bool, shards: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; one bucket is held at a time."""
-    bucket, held = None, []
+    bucket, held, found, n = None, [], [], 0
 
     def settled():
-        if not held:
-            return
-        shift = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-        ids, tags, places, keys = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3, 4))
-        docs = np.concatenate([h[2] + s for h, s in zip(held, shift)])
+        docs, ids, tags, places, keys = _join(held, (0, 1, 3, 4))
         # the same document may have come in several rows: number the distinct (id, tag)
         pairs = np.empty(len(ids), dtype=[("id", np.int64), ("tag", np.int64)])
         pairs["id"], pairs["tag"] = ids, tags
         distinct, number = np.unique(pairs, return_inverse=True)
         docs = number[docs]
         hit, _ = _settle(keys, distinct["id"][docs], docs, earlier)
-        chosen = np.flatnonzero(hit)
-        chosen = chosen[np.lexsort((places[chosen], docs[chosen]))]
-        found = _found(distinct["id"], distinct["tag"], docs[chosen], places[chosen])
-        if found is not None:
-            yield found
+        return distinct["id"], distinct["tag"], docs[hit], places[hit], None
 
     for batch in batches:
         for row in batch.to_pylist():
-            if row["done"]:
-                ids, tags, docs, places, _ = _unpack(row, exact)
-                found = _found(ids, tags, docs, places)
-                if found is not None:
-                    yield found
-                continue
-            if row["bucket"] != bucket:
-                yield from settled()
+            if not row["done"] and row["bucket"] != bucket:
+                if held:
+                    found.append(settled())
+                    n += len(found[-1][2])
                 bucket, held = row["bucket"], []
-            held.append(_unpack(row, exact))
-    yield from settled()
+            unpacked = _unpack(row, exact)
+            (found if row["done"] else held).append(unpacked)
+            n += len(unpacked[2]) * row["done"]
+            if n >= LOT:
+                yield from _deal(found, shards)
+                found, n = [], 0
+    if held:
+        found.append(settled())
+    yield from _deal(found, shards)
+
+
+def _gather(batches) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard; one row per document with its distinct places."""
+    shard, held = None, []
+
+    def documents():
+        docs, ids, tags, places = _join(held, (0, 1, 3))
+        ids, tags = ids[docs], tags[docs]
+        order = np.lexsort((places, tags, ids))
+        ids, tags, places = ids[order], tags[order], places[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (places[1:] != places[:-1])
+        ids, tags, places = ids[new], tags[new], places[new]
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(ids))
+        for at in range(0, len(cut), 10_000):
+            a, b = cut[at: at + 10_000], ends[at: at + 10_000]
+            blobs = [pack_places(places[x:y]) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(tags[a]), pa.array(blobs, pa.binary())], schema=_FOUND)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != shard and held:
+                yield from documents()
+                held = []
+            shard = row["bucket"]
+            held.append(_unpack(row, True))
+    if held:
+        yield from documents()
 
 
 def found_elsewhere(docs: DataFrame, offer: Callable[[pa.RecordBatch], Iterator[Offer]], earlier: bool, exact: bool) -> DataFrame:
-    """(doc_id, tag, lists of packed places): keys that another document has too, or one with a smaller id.
+    """(doc_id, tag, packed places): keys that another document has too, or one with a smaller id.
 
     ``offer`` turns a batch of ``docs`` into document ids, tags (below 2**32; they tell apart documents
-    that share an id), and for each key its document, place and value.
+    that share an id), and for each key its document, place and value.  Documents without a hit are missing.
     """
-    spark = docs.sparkSession
-    buckets = shuffle_partitions(spark) * PER_TASK
+    parts = shuffle_partitions(docs.sparkSession)
 
     def pack(batches):
-        packer = _Packer(buckets, earlier, exact)
+        packer = _Packer(parts * PER_TASK, earlier, exact)
         for batch in batches:
             for offered in offer(batch):
                 yield from packer.add(offered)
         yield from packer.flush()
 
     packed = docs.mapInArrow(pack, PACKED)
-    dealt = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(lambda batches: _reduce(batches, earlier, exact), FOUND)
-    return found.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
+    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(lambda batches: _reduce(batches, earlier, exact, parts * PER_TASK), PACKED)
+    sharded = found.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sharded.mapInArrow(_gather, FOUND)

@@ -84,12 +84,16 @@ class Words:
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)
         self.counts = np.diff(self.first)
+        self._sums: np.ndarray | None = None
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, end: np.ndarray | None = None) -> np.ndarray:
+        """Of the words, or of their bytes before ``end``."""
+        end = self.end if end is None else end
         up, down = _powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE[self.data] * up[:-1], out=total[1:])
-        return _mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        if self._sums is None:
+            self._sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum(BYTE[self.data] * up[:-1], out=self._sums[1:])
+        return _mix((self._sums[end] - self._sums[self.start]) * down[self.start] + (end - self.start).astype(np.uint64))
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
