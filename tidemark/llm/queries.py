@@ -11,7 +11,7 @@ from tidemark.llm.packing import packed_digest
 from tidemark.llm.quality_bands import judge_quality
 from tidemark.llm.substring_dedup import passage_digest
 from tidemark.llm.token_lengths import context_limits, length_histogram, token_lengths
-from tidemark.llm.toxicity import fit, rate, severity_grades
+from tidemark.llm.toxicity import fit, rate, toxic_grades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,7 +57,7 @@ def compression_bands(spark, sf):
 @query("op6_ordinal_toxicity")
 def ordinal_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
-    return rate(docs, fit(docs, severity_grades(table(spark, sf, "labels"))))
+    return rate(docs, fit(docs, toxic_grades(table(spark, sf, "labels")), split=3))
 
 
 @query("op7_best_two_fit")

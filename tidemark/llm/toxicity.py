@@ -71,13 +71,16 @@ def _known(hashes: np.ndarray, rows: np.ndarray, vocabulary: np.ndarray) -> tupl
     return pairs // len(vocabulary), pairs % len(vocabulary)
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
+def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int = FEATURES, split: int = 1, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
     """Model from ``grades`` (doc_id, grade from 0 on) and the texts of their documents.
 
     The fit sees about ``sample`` labelled rows, chosen by a hash of the id: that bounds the labels sent to
     every task and the sparse rows sent to the driver, which are few words each because only the
     ``features`` words most strongly tied to the grade are kept.  Several grades of one document count as
     the highest; rows with NULL are not learned from.
+
+    Labels that only say toxic or not have one grade above 0.  ``split`` makes so many of the highest grade:
+    its texts are divided evenly by how many telling words they hold.
     """
     rated = grades.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.max("grade").cast("int").alias("grade"))
     rated = materialise(rated, "grades")
@@ -111,7 +114,14 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int
     data = texts.mapInArrow(lists, "grade int, words array<int>").groupBy("grade", "words").agg(F.count(F.lit(1)).alias("n")).toPandas()
     which = np.concatenate([np.asarray(w, np.int64) for w in data["words"]])
     row = np.repeat(np.arange(len(data)), data["words"].map(len).to_numpy())
-    weights, thresholds = _ordinal(row, which, data["grade"].to_numpy(), data["n"].to_numpy(float), len(vocabulary), max(1, int(top)))
+    grade, count = data["grade"].to_numpy().copy(), data["n"].to_numpy(float)
+    highest = grade == grade.max()
+    telling = np.bincount(row, minlength=len(data))
+    order = np.argsort(telling[highest], kind="stable")
+    reached = np.cumsum(count[highest][order]) / count[highest].sum()
+    cuts = [telling[highest][order][np.searchsorted(reached, k / split)] for k in range(1, split)]
+    grade[highest] += np.searchsorted(np.array(cuts), telling[highest], "left")
+    weights, thresholds = _ordinal(row, which, grade, count, len(vocabulary), max(1, int(grade.max())))
     return SeverityModel(vocabulary, weights, thresholds)
 
 
@@ -193,7 +203,6 @@ def rate(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col
     return rows.mapInArrow(judge, "_id long, severity double, p_toxic double, grade int, toxic boolean").withColumnRenamed("_id", id_col)
 
 
-def severity_grades(labels: DataFrame) -> DataFrame:
-    """Grades of the ``labels`` table: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    low = F.coalesce(F.col("quality"), F.lit(1)) == 0
-    return labels.select("doc_id", F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(low, 2).otherwise(1)).alias("grade"))
+def toxic_grades(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of the ``labels`` table: 1 if toxic, 0 if not."""
+    return labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))
