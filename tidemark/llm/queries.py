@@ -12,6 +12,7 @@ from tidemark.llm.quality_bands import judge_quality
 from tidemark.llm.substring_dedup import passage_digest
 from tidemark.llm.token_lengths import context_limits, length_histogram, token_lengths
 from tidemark.llm.toxicity import fit, rate, toxic_grades
+from tidemark.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +45,11 @@ def token_length_limits(spark, sf):
     return context_limits(length_histogram(lengths))
 
 
+@query("op3_warc_dictionary")
+def warc_dictionary(spark, sf):
+    return archived(spark, table(spark, sf, "pages"))
+
+
 @query("op4_language_filters")
 def language_filters(spark, sf):
     return identify(table(spark, sf, "documents"))
