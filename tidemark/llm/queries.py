@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import LEAKS_SQL, benchmark_leaks
 from tidemark.llm.language_id import identify
 from tidemark.llm.packing import packed_digest
 from tidemark.llm.quality_bands import judge_quality
@@ -74,3 +75,8 @@ def best_two_fit(spark, sf):
 @query("op8_substring_dedup")
 def substring_dedup(spark, sf):
     return passage_digest(table(spark, sf, "documents"))
+
+
+@query("op10_spaced_seeds", LEAKS_SQL)
+def spaced_seeds(spark, sf):
+    return benchmark_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
