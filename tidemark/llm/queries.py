@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import LEAKS_SQL, benchmark_leaks
 from tidemark.llm.language_id import identify
 from tidemark.llm.packing import packed_digest
+from tidemark.llm.pii import replace_personal_data
 from tidemark.llm.quality_bands import judge_quality
 from tidemark.llm.substring_dedup import passage_digest
 from tidemark.llm.token_lengths import context_limits, length_histogram, token_lengths
@@ -77,6 +78,16 @@ def substring_dedup(spark, sf):
     return passage_digest(table(spark, sf, "documents"))
 
 
+#: A stand-in; production passes its own secret.
+SURROGATE_KEY = "tidemark-surrogates"
+
+
+@query("op9_surrogates")
+def surrogates(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return replace_personal_data(docs, SURROGATE_KEY)
+
+
 @query("op10_spaced_seeds", LEAKS_SQL)
 def spaced_seeds(spark, sf):
     return benchmark_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

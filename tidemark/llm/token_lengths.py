@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import BatchEncoder
+from tidemark.session import materialise
 
-BLOCK = 1024  # lengths summed together in the first of two levels
+BLOCK = 128  # lengths summed together in the first of two levels
 
 
 def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,12 +40,12 @@ def context_limits(histogram: DataFrame, by: list[str] | None = None) -> DataFra
     truncated_tokens: tokens left if every document is cut to the limit.  share_fitting: docs_fitting over
     all documents, so the q-quantile of the lengths is the first row with share_fitting >= q.
 
-    Sums run in two levels, first over blocks of 1024 lengths and then inside each block, so no task reads
-    the whole histogram.  NULL group values form a group; an empty table gives no rows.
+    Sums run in two levels, first over blocks of 128 lengths and then inside each block, so no task reads
+    the whole histogram.  The histogram is written once.  NULL group values form a group; an empty table gives no rows.
     """
     group = list(by or [])
     block = F.floor(F.col("n_tokens") / BLOCK)
-    rows = histogram.withColumn("_block", block)
+    rows = materialise(histogram.withColumn("_block", block), "histogram")
     sums = rows.groupBy(*group, "_block").agg(
         F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_tokens")
     )
