@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import LEAKS_SQL, benchmark_leaks
+from tidemark.llm.jaccard_join import near_copies
 from tidemark.llm.language_id import identify
 from tidemark.llm.packing import packed_digest
 from tidemark.llm.pii import replace_personal_data
@@ -41,6 +42,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_jaccard_join")
+def jaccard_join(spark, sf):
+    return near_copies(table(spark, sf, "documents"))
+
+
 @query("op2_token_lengths")
 def token_length_limits(spark, sf):
     lengths = token_lengths(table(spark, sf, "documents"), tokenizer())
