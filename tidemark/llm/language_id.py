@@ -136,6 +136,48 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
     return found
 
 
+def _judged(docs: DataFrame, model: LanguageModel, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all) of ``docs`` with ``_lang`` and ``_score``; one scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = docs.columns if carry is None else carry
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    rows = docs.select(*carried, F.col(text_col).alias("_judged_text"))
+
+    def judge(batches):
+        m = shared.value
+        for batch in batches:
+            column = batch.column(len(carried))
+            data, offsets = text_bytes(column)
+            letters = _has_letter(column, data, offsets)
+            names, scores = [], []
+            for low, high in pieces(offsets):
+                name, score = _decide(m, data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], letters[low:high])
+                names += name.tolist()
+                scores += score.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(carried)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "_lang", "_score"]
+            )
+
+    return rows.mapInArrow(judge, f"{fields}, _lang string, _score double")
+
+
+def _decide(m: LanguageModel, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n_rows = len(letters)
+    if not m.languages:
+        return np.full(n_rows, "und", object), np.zeros(n_rows)
+    codes, rows = grams(data, offsets)
+    n = np.bincount(rows, minlength=n_rows)[:n_rows].astype(float)
+    found = m.hits(codes)
+    hits = np.stack([
+        np.bincount(rows[(found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) > 0], minlength=n_rows)[:n_rows]
+        for i in range(len(m.languages))
+    ], axis=1)
+    fair = np.clip((hits - n[:, None] * m.chance) / (1 - np.minimum(m.chance, 0.99)), 0, None)
+    best = np.where(fair.max(axis=1) > 0, fair.argmax(axis=1), m.common)
+    score = np.clip(fair[np.arange(n_rows), best] / np.maximum(n, 1), 0, 1)
+    return np.where(letters, np.array(m.languages, object)[best], "und"), np.where(letters, score, 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row from its text alone.
 
@@ -144,38 +186,14 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     a text with letters but no n-gram of any language gets the one with most training text and score 0.
     NULL and repeated ids are passed through, other columns ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
+    judged = _judged(rows, model, "_text", carry=[id_col])
+    return judged.withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
 
-    def judge(batches):
-        m = shared.value
-        for batch in batches:
-            column = batch.column(1)
-            data, offsets = text_bytes(column)
-            letters = _has_letter(column, data, offsets)
-            for low, high in pieces(offsets):
-                codes, rows = grams(data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low])
-                n = np.bincount(rows, minlength=high - low)[: high - low].astype(float)
-                some = letters[low:high] & bool(m.languages)
-                if m.languages:
-                    found = m.hits(codes)
-                    hits = np.stack([
-                        np.bincount(rows[(found[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) > 0], minlength=high - low)
-                        for i in range(len(m.languages))
-                    ], axis=1)
-                    fair = np.clip((hits - n[:, None] * m.chance) / (1 - np.minimum(m.chance, 0.99)), 0, None)
-                    best = np.where(fair.max(axis=1) > 0, fair.argmax(axis=1), m.common)
-                    score = np.clip(fair[np.arange(high - low), best] / np.maximum(n, 1), 0, 1)
-                    names = np.where(some, np.array(m.languages, object)[best], "und")
-                else:
-                    names, score = np.full(high - low, "und", object), np.zeros(high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), pa.array(names.tolist(), pa.string()), pa.array(np.where(some, score, 0.0))],
-                    names=["_id", "lang_pred", "score"],
-                )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(judge, "_id long, lang_pred string, score double").withColumnRenamed("_id", id_col)
+def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.2, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, all columns, whose text has a language and at least ``least_score`` of its n-grams known in it."""
+    return _judged(docs, model, text_col).where((F.col("_lang") != "und") & (F.col("_score") >= least_score)).drop("_lang", "_score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
