@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import SCORED_SQL, THRESHOLD, query, r, scored_events, table
+from catalog.registry import LINES_SQL, SCORED_SQL, SQL, THRESHOLD, lines, query, r, scored_events, table
 from catalog.series import EPISODES_SQL, RUNS_SQL
 from tidemark.functions.scalars import flag
 from tidemark.operators import evaluate, runs
@@ -150,16 +150,38 @@ def event_f1(spark, sf):
     return rounded(evaluate.event_f1(df, n, T))
 
 
-@query("evaluation_report", f"""
-WITH {RUNS_SQL}, m AS (SELECT avg(score) AS mu, stddev_pop(score) AS sd FROM ev),
-t AS (SELECT pred <> lag(pred) OVER (ORDER BY row_id) AS ch FROM p)
-SELECT 'total_samples' AS metric, CAST(count(*) AS DOUBLE) AS value FROM ev
-UNION ALL SELECT 'mean_anomaly_score', round(avg(score), 6) FROM ev
-UNION ALL SELECT 'score_variance', round(var_pop(score), 6) FROM ev
-UNION ALL SELECT 'prediction_consistency', round(1 - count(*) FILTER (ch) * 1.0 / count(ch), 6) FROM t
-UNION ALL SELECT 'num_anomaly_episodes', CAST(max(run) AS DOUBLE) FROM rn""")
+def _long_sql(*names: str) -> str:
+    """(metric, value) rows of one-row queries."""
+    parts = [
+        f"SELECT name AS metric, value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({SQL[n]})) ON COLUMNS(*) INTO NAME name VALUE value)"
+        for n in names
+    ]
+    return " UNION ALL ".join(parts)
+
+
+REPORT = ("basic_statistics", "score_distribution", "prediction_consistency", "synthetic_metrics", "temporal_metrics")
+
+
+@query("evaluation_report", f"SELECT metric, round(value, 4) AS value FROM ({_long_sql(*REPORT)})")
 def evaluation_report(spark, sf):
+    """Every metric of unlabelled, timed scores."""
     df, n = scored_events(spark, sf)
     out = evaluate.evaluate(df.select("row_id", "ts", "score"), n, T, labelled=False, timed=True)
-    shown = ("total_samples", "mean_anomaly_score", "score_variance", "prediction_consistency", "num_anomaly_episodes")
-    return out.where(F.col("metric").isin(*shown)).select("metric", r("value").alias("value"))
+    return out.select("metric", r("value", 4).alias("value"))
+
+
+@query("evaluate_lineitem", f"""
+WITH {LINES_SQL}, ev AS (SELECT row_id, (l_extendedprice - min(l_extendedprice) OVER ()) / (max(l_extendedprice) OVER () - min(l_extendedprice) OVER ()) AS score,
+  CAST(l_quantity > 25 AS INTEGER) AS label FROM li),
+m AS (SELECT avg(score) AS mu, stddev_pop(score) AS sd FROM ev),
+lab AS (SELECT score, label, 'given' AS kind FROM ev UNION ALL SELECT score, CAST(abs((score - mu) / sd) > 2 AS INTEGER), 'made' FROM ev, m),
+s AS (SELECT kind, score, sum(label) AS p, count(*) - sum(label) AS n FROM lab GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY score) - n AS below, sum(p) OVER (PARTITION BY kind) AS tp, sum(n) OVER (PARTITION BY kind) AS tn FROM s)
+SELECT kind, CASE WHEN max(tp) > 0 AND max(tn) > 0 THEN round(sum(p * (below + n / 2.0)) / (max(tp)::DOUBLE * max(tn)), 6) ELSE 0 END AS auc_roc FROM c GROUP BY 1""")
+def evaluate_lineitem(spark, sf):
+    """Areas under the ROC curve of prices, for given labels and for those of the two-sigma rule."""
+    f = lines(spark, sf)
+    scored = materialise(minmax(f.df, "l_extendedprice").join(f.df.select("row_id", (F.col("l_quantity") > 25).cast("int").alias("label")), "row_id"), "lines")
+    given = evaluate.curve_metrics(scored).select(F.lit("given").alias("kind"), r("auc_roc").alias("auc_roc"))
+    made = evaluate.synthetic(scored.drop("label")).select(F.lit("made").alias("kind"), r("synthetic_auc").alias("auc_roc"))
+    return given.unionByName(made)

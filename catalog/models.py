@@ -229,15 +229,10 @@ def detect_with_labels(spark, sf):
     return found.summary.select("model", "anomalies_detected", r("precision", 5).alias("precision"), r("recall", 5).alias("recall"))
 
 
-QUICK = {
-    "autoencoder": {"epochs": 5}, "lstm_autoencoder": {"epochs": 2}, "transformer": {"epochs": 2},
-}
-
-
 def _detector_query(name):
     @query(f"detector_{name}")
     def run(spark, sf):
-        return registry.create(name, **QUICK.get(name, {})).fit_predict(event_frame(spark, sf))
+        return registry.create(name).fit_predict(event_frame(spark, sf))
 
 
 for _name in ("isolation_forest", "one_class_svm", "gaussian_mixture", "autoencoder", "lstm_autoencoder",

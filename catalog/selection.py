@@ -90,25 +90,42 @@ def deterministic_sample(spark, sf):
 
 @query("meta_sampled")
 def meta_sampled(spark, sf):
-    """Forest spread and clustering tendency, from deterministic samples."""
+    """Spread of the forest scores over all rows, and the clustering tendency."""
     f = lines(spark, sf)
     return one_row(spark, {"isolation_score": selection.isolation_spread(f), "clustering_tendency": selection.hopkins(f)})
 
 
+# probes and the random points beside them come from md5, so that SQL can draw the same ones
+_DISTANCE = " + ".join(f"pow(b.{c} - a.{c}, 2)" for c in LINE_FEATURES)
+HOPKINS_SQL = f"""{LINES_SQL}, pr AS (SELECT row_id, {', '.join(LINE_FEATURES)} FROM li ORDER BY md5(concat('42|', row_id)), row_id LIMIT 200),
+en AS (SELECT {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in LINE_FEATURES)} FROM pr),
+rd AS (SELECT row_id, {', '.join(f"lo_{c} + (hi_{c} - lo_{c}) * CAST(concat('0x', substr(md5(concat('42|{i}|', row_id)), 1, 8)) AS BIGINT) / 4294967296.0 AS {c}" for i, c in enumerate(LINE_FEATURES))} FROM pr, en),
+ho AS (SELECT sum(w) AS w, sum(u) AS u FROM (
+  SELECT (SELECT sqrt(min({_DISTANCE})) FROM li b WHERE b.row_id <> a.row_id) AS w, 0.0 AS u FROM pr a
+  UNION ALL SELECT 0.0, (SELECT sqrt(min({_DISTANCE})) FROM li b) FROM rd a)),
+hk AS (SELECT CASE WHEN w + u > 0 THEN u / (w + u) ELSE 0.5 END AS tendency FROM ho)"""
+
+
+@query("meta_clustering", f"WITH {HOPKINS_SQL} SELECT round(tendency, 6) AS clustering_tendency FROM hk")
+def meta_clustering(spark, sf):
+    return one_row(spark, {"clustering_tendency": round(selection.hopkins(lines(spark, sf)), 6)})
+
+
 @query("selection_fmms")
 def selection_fmms(spark, sf):
     return selection.fmms_table(event_frame(spark, sf), registry.names())
 
 
-# the rules read meta-features of lineitem; the clustering tendency is not needed by them
-META_SQL = f"""{OUTLIER_SQL}, mt AS (SELECT count(*) AS n, 4.0 / count(*) AS ratio, max(outlier_fraction) AS outliers,
-  FALSE AS series_like FROM lineitem, ou)"""
+# the rules read meta-features of lineitem; with this many rows every |r| above 0.3 is significant
+META_SQL = f"""{OUTLIER_SQL}, {HOPKINS_SQL}, lg AS (SELECT corr(l_quantity, prev) AS r FROM (SELECT l_quantity, lag(l_quantity) OVER (ORDER BY row_id) AS prev FROM li)),
+mt AS (SELECT count(*) AS n, 4.0 / count(*) AS ratio, max(outlier_fraction) AS outliers,
+  max(abs(r)) > 0.3 AS series_like, max(tendency) > 0.5 AS clustered FROM lineitem, ou, lg, hk)"""
 
 
 def line_meta(spark, sf):
     f = lines(spark, sf)
     return {**selection.shape_features(f), **selection.order_features(f),
-            "outlier_fraction": selection.outlier_fraction(f), "clustering_tendency": 0.0}
+            "outlier_fraction": selection.outlier_fraction(f), "clustering_tendency": selection.hopkins(f)}
 
 
 def model_rows(spark, names):
@@ -126,17 +143,23 @@ def selection_metaod(spark, sf):
 
 
 @query("selection_orthus", f"""WITH {META_SQL}
-SELECT 'isolation_forest' AS model UNION ALL SELECT 'dbscan'
+SELECT 'isolation_forest' AS model UNION ALL SELECT CASE WHEN clustered THEN 'gaussian_mixture' ELSE 'dbscan' END FROM mt
 UNION ALL SELECT CASE WHEN n > 1000 AND series_like THEN 'lstm_autoencoder' ELSE 'autoencoder' END FROM mt
 UNION ALL SELECT 'prophet' FROM mt WHERE series_like""")
 def selection_orthus(spark, sf):
     return model_rows(spark, selection.orthus(line_meta(spark, sf), registry.names())).select("model")
 
 
-@query("selection_union", f"""WITH {META_SQL}, b(model, o, s) AS (
-  SELECT 'isolation_forest', 0, 3 UNION ALL SELECT 'local_outlier_factor', 3, 2 FROM mt WHERE n > 10000
-  UNION ALL SELECT 'dbscan', 4, 1 UNION ALL SELECT 'autoencoder', 6, 1 + CASE WHEN n > 1000 THEN 2 ELSE 0 END FROM mt),
-c AS (SELECT *, count(*) OVER () AS chosen FROM b),
+@query("selection_union", f"""WITH {META_SQL}, b(model, o, s, wanted) AS (
+  SELECT 'isolation_forest', 0, 3, TRUE UNION ALL SELECT 'pca', 1, 2 + CAST(ratio > 0.1 AS INTEGER), ratio > 0.1 FROM mt
+  UNION ALL SELECT 'one_class_svm', 2, 1, outliers > 0.15 FROM mt
+  UNION ALL SELECT 'local_outlier_factor', 3, 2 + CAST(clustered AS INTEGER), n > 10000 FROM mt
+  UNION ALL SELECT 'dbscan', 4, 1, NOT clustered OR outliers > 0.15 FROM mt UNION ALL SELECT 'gaussian_mixture', 5, 1, clustered FROM mt
+  UNION ALL SELECT 'autoencoder', 6, 1 + CASE WHEN n > 1000 THEN 2 ELSE 0 END, ratio > 0.1 OR n <= 1000 OR NOT series_like FROM mt
+  UNION ALL SELECT 'lstm_autoencoder', 7, 1 + CASE WHEN series_like THEN 2 ELSE 0 END, series_like FROM mt
+  UNION ALL SELECT 'prophet', 9, 1, series_like FROM mt),
+w AS (SELECT * FROM b WHERE wanted),
+c AS (SELECT *, count(*) OVER () AS chosen FROM w),
 rk AS (SELECT model, row_number() OVER (ORDER BY CASE WHEN chosen > 3 THEN -s ELSE 0 END, o) - 1 AS position FROM c)
 SELECT CAST(position AS INTEGER) AS position, model FROM rk WHERE position < 3""")
 def selection_union(spark, sf):
@@ -238,10 +261,10 @@ def chart_counts(spark, sf):
 
 
 @query("chart_scatter", f"""WITH {LINES_SQL}
-SELECT row_id, l_quantity, l_extendedprice, l_discount,
+SELECT row_id, l_quantity, l_extendedprice, l_discount, l_tax,
   round((l_extendedprice - min(l_extendedprice) OVER ()) / (max(l_extendedprice) OVER () - min(l_extendedprice) OVER ()), 6) AS score FROM li""")
 def chart_scatter(spark, sf):
     f = lines(spark, sf)
     scores = minmax(f.df, "l_extendedprice").select("row_id", F.lit("price").alias("model"), "score")
     out = report.scatter_points(f.df, f.features, scores, "price")
-    return out.select("row_id", "l_quantity", "l_extendedprice", "l_discount", r("score").alias("score"))
+    return out.select("row_id", *LINE_FEATURES, r("score").alias("score"))

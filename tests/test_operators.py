@@ -332,3 +332,47 @@ def test_far_clusters_leave_empty_groups(spark, monkeypatch):
     assert counts.sort_index().tolist() == (d <= 0.5).sum(1).tolist()
     links = neighbours.radius_links(df.withColumn("node", F.col("pid")), 180, 0.5).toPandas()
     assert (d[links["a"], links["b"]] >= 0).all() and (links["a"] // 30 == links["b"] // 30).all()
+
+
+def test_areas_with_many_rows_of_both_classes(spark, monkeypatch):
+    """Counts whose product leaves 32 bits."""
+    from tidemark.operators import evaluate
+
+    points = spark.createDataFrame(
+        [(0.2, 0, 90_000, 0, 90_000), (0.8, 100_000, 10_000, 100_000, 100_000)], "score double, pos bigint, neg bigint, pos_upto bigint, neg_upto bigint"
+    )
+    monkeypatch.setattr(evaluate, "curve_points", lambda df: points)
+    row = evaluate.curve_metrics(points).first()
+    assert row["auc_roc"] == pytest.approx(0.9 + 0.1 / 2)
+    assert row["auc_pr"] == pytest.approx(100_000 / 110_000)
+
+
+@pytest.mark.parametrize("n", [100, 2_000, 30_000])
+def test_every_tree_has_its_full_sample(spark, n):
+    from tidemark.detectors.statistical import IsolationForest
+    from tidemark.frame import Frame
+
+    frame = Frame(spark.range(n).selectExpr("id AS row_id", "double(id) AS x"), ("x",), n)
+    nodes = IsolationForest(n_estimators=10, max_samples=256).fit(frame)
+    # with distinct values every leaf above the depth limit holds one row; the root of each tree has psi rows
+    assert sorted(nodes["tree"].unique()) == list(range(10))
+    psi = min(256, n)
+    assert (nodes.groupby("tree").size() >= psi / 2).all()
+
+
+def test_timestamp_needs_every_value(spark):
+    from tidemark.sources.readers import detect_timestamp
+
+    rows = [("2024-01-01 00:00:00", "2024-01-01", None)] * 6 + [("no date", "2024-01-02", None)] * 3
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    assert detect_timestamp(df) == "b"
+    assert detect_timestamp(df.select("a", "c")) is None
+
+
+def test_codes_of_large_dictionaries(spark, monkeypatch):
+    from tidemark.operators import encode
+
+    monkeypatch.setattr(encode, "BROADCAST_ROWS", 2)
+    rows = [("b",), (None,), ("a",), ("B",), ("a",), (None,)]
+    got = encode.encode_category(spark.createDataFrame(rows, "v string"), "v").collect()
+    assert sorted((str(r.v), r.v_encoded) for r in got) == [("B", 0), ("None", -1), ("None", -1), ("a", 1), ("a", 1), ("b", 2)]

@@ -64,17 +64,17 @@ class IsolationForest(Detector):
         seed = self.options["random_state"]
         d = len(frame.features)
         rows = frame.df.select("row_id", frame.vector().alias("v"))
+        # rows in the order of a hash are dealt out in turn, from the first again after the last: every tree
+        # gets exactly psi different rows, whatever the size of the table
+        wanted = min(frame.n, trees * psi)
         order = F.xxhash64(F.lit(seed), F.col("row_id"))
-        if frame.n >= trees * psi:
-            # large table: one hashed sample, dealt out so that trees see different rows
-            near = hashed_share(rows, F.col("row_id"), trees * psi, frame.n, seed)
-            drawn = near.orderBy(order, "row_id").limit(trees * psi)
-            dealt = drawn.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "row_id"), F.lit(trees)).cast("int"))
-        else:
-            dealt = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        w = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "row_id"), "row_id")
-        dealt = dealt.repartition(shuffle_partitions(frame.df.sparkSession), "tree")
-        sample = dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
+        near = hashed_share(rows, F.col("row_id"), wanted, frame.n, seed)
+        near = near if near.count() >= wanted else rows
+        drawn = materialise(near.withColumn("_h", order).orderBy("_h", "row_id").limit(wanted), "forest-rows")
+        placed = drawn.withColumn("_at", F.row_number().over(Window.orderBy("_h", "row_id")) - 1)
+        turns = F.explode(F.sequence(F.col("_at"), F.lit(trees * psi - 1), F.lit(frame.n)))
+        dealt = placed.select("row_id", "v", turns.alias("_turn")).withColumn("tree", F.floor(F.col("_turn") / psi).cast("int"))
+        sample = dealt.repartition(shuffle_partitions(frame.df.sparkSession), "tree")
 
         def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.stack(pdf.sort_values("row_id")["v"].to_numpy())

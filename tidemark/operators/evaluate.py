@@ -79,7 +79,8 @@ def curve_metrics(df: DataFrame) -> DataFrame:
     """
     points = curve_points(df)
     totals = points.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    p, n = F.lit(totals["p"] or 0), F.lit(totals["n"] or 0)
+    # doubles: the product of two integer counts overflows from some 50 000 rows of each class on
+    p, n = F.lit(float(totals["p"] or 0)), F.lit(float(totals["n"] or 0))
     below_pos, below_neg = F.col("pos_upto") - F.col("pos"), F.col("neg_upto") - F.col("neg")
     tp, fp = p - below_pos, n - below_neg  # rows at or above this score
     tp_up, fp_up = p - F.col("pos_upto"), n - F.col("neg_upto")  # rows above it

@@ -15,7 +15,6 @@ from tidemark.operators.order import over_blocks
 # fixed values: parts of a column name that mark it as an identifier
 ID_WORDS = ("id", "index")
 LAGS = (1, 2, 3)
-INTERACTION_COLUMNS = 5
 _ROLLING_TYPES = (T.DoubleType, T.FloatType, T.LongType)
 
 
@@ -62,8 +61,8 @@ def calendar_features(df: DataFrame, ts: str) -> DataFrame:
 
 
 def interaction_features(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Pairwise products of the first five columns."""
-    pairs = list(itertools.combinations(cols[:INTERACTION_COLUMNS], 2))
+    """Pairwise products of the columns; name fewer columns for fewer products."""
+    pairs = list(itertools.combinations(cols, 2))
     out = {f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in pairs}
     return df.withColumns(out), list(out)
 

@@ -131,7 +131,7 @@ def run_models(
             tables.append(scored.withColumn("model", F.lit(name)).select("row_id", "model", "score"))
             audit.append((name, "ok", None, frame.n, len(frame.features)))
         except Exception as e:  # noqa: BLE001 - recorded, and the other models still run
-            audit.append((name, "failed", str(e)[:500], frame.n, len(frame.features)))
+            audit.append((name, "failed", str(e), frame.n, len(frame.features)))
     audit_df = spark.createDataFrame(
         audit, "model string, status string, message string, rows bigint, features int"
     )

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluate import SUMMARY_METRICS, equal_bin
 from tidemark.operators.linalg import fit_pca
 
-# fixed values: how many models or features a chart shows, and its bins
-SERIES_MODELS, SERIES_FEATURES, HISTOGRAM_MODELS, SCATTER_FEATURES = 4, 4, 3, 3
+# fixed values: bins of the charts
 GRID_CELLS, HISTOGRAM_BINS = 50, 30
 GOOD, FAIR = 0.8, 0.6
 
@@ -21,18 +20,19 @@ def _flag(threshold):
 
 
 def score_series(scores: DataFrame, models: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    shown = scores.where(F.col("model").isin(*models[:SERIES_MODELS]))
+    """Scores of the named models over time."""
+    shown = scores.where(F.col("model").isin(*models))
     return shown.select("model", "row_id", "ts", "score", F.lit(threshold).alias("threshold"), _flag(threshold))
 
 
 def feature_series(frame_df: DataFrame, features: Sequence[str], scores: DataFrame, model: str,
                    threshold: float = 0.5, ts: str = "ts") -> DataFrame:
-    """First features over time with the flags of one model."""
+    """The named features over time with the flags of one model."""
     mine = scores.where(F.col("model") == model).select("row_id", "score")
     return (
         frame_df.join(mine, "row_id")
-        .select("row_id", ts, *features[:SERIES_FEATURES], _flag(threshold))
-        .unpivot(["row_id", ts, "is_anomaly"], list(features[:SERIES_FEATURES]), "feature", "value")
+        .select("row_id", ts, *features, _flag(threshold))
+        .unpivot(["row_id", ts, "is_anomaly"], list(features), "feature", "value")
     )
 
 
@@ -73,11 +73,11 @@ def score_grid(points: DataFrame, cells: int = GRID_CELLS) -> DataFrame:
 
 def score_histogram(scores: DataFrame, models: Sequence[str], bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal bins between each model's smallest and largest score."""
-    shown = scores.where(F.col("model").isin(*models[:HISTOGRAM_MODELS]))
+    shown = scores.where(F.col("model").isin(*models))
     ends = {r["model"]: (r["lo"], r["hi"]) for r in
             shown.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()}
     index = F.lit(0)
-    for m, (lo, hi) in ends.items():  # at most three models
+    for m, (lo, hi) in ends.items():
         if hi > lo:
             index = F.when(F.col("model") == m, equal_bin(F.col("score"), lo, hi, bins)).otherwise(index)
     return shown.groupBy("model", index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("frequency"))
@@ -95,6 +95,6 @@ def anomaly_counts(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def scatter_points(frame_df: DataFrame, features: Sequence[str], scores: DataFrame, model: str) -> DataFrame:
-    """First three features with the score of one model."""
+    """The named features with the score of one model."""
     mine = scores.where(F.col("model") == model).select("row_id", "score")
-    return frame_df.select("row_id", *features[:SCATTER_FEATURES]).join(mine, "row_id")
+    return frame_df.select("row_id", *features).join(mine, "row_id")

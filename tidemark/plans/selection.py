@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.detectors import registry
 from tidemark.frame import Frame
 from tidemark.operators.linalg import components_for, covariance
-from tidemark.operators.order import number_rows, over_blocks
+from tidemark.operators.order import over_blocks
 from tidemark.operators.quantile import quantiles
 from tidemark.operators.sampling import md5_sample
 
@@ -42,8 +44,8 @@ RANKING = {
 FALLBACK = ("isolation_forest", "pca", "local_outlier_factor")
 FAST_AT_SCALE = ("isolation_forest", "local_outlier_factor", "pca")
 ROBUST = ("isolation_forest", "pca", "one_class_svm")
-FMMS_TRIED, FMMS_ROWS, FMMS_KEPT = 6, 1000, 3
-FOREST_ROWS, FOREST_TREES, HOPKINS_ROWS = 500, 50, 200
+FMMS_KEPT = 3
+FOREST_TREES, HOPKINS_PROBES = 50, 200
 DEFAULT_OUTLIERS = 0.1
 
 
@@ -160,30 +162,42 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-def _sample(frame: Frame, size: int) -> Frame:
-    picked = md5_sample(frame.df, "row_id", size, frame.n)
-    rows, n = number_rows(picked.withColumnRenamed("row_id", "_source"), ["_source"])
-    return Frame(rows, frame.features, n)
-
-
 def isolation_spread(frame: Frame) -> float:
-    """Deviation of the forest's raw scores on a sample."""
-    sample = _sample(frame, FOREST_ROWS)
+    """Deviation of the forest's raw scores over all rows."""
     forest = registry.create("isolation_forest", n_estimators=FOREST_TREES)
-    return float(forest.raw_scores(sample).agg(F.stddev_pop("raw")).first()[0] or 0.0)
+    return float(forest.raw_scores(frame).agg(F.stddev_pop("raw")).first()[0] or 0.0)
+
 
+def hopkins(frame: Frame, seed: int = 42, probes: int = HOPKINS_PROBES) -> float:
+    """Clustering tendency (0.5 = uniform): distances from ``probes`` rows and as many random points to the nearest row.
 
-def hopkins(frame: Frame, seed: int = 42) -> float:
-    """Clustering tendency on at most 200 sampled rows (0.5 = uniform)."""
-    pdf = md5_sample(frame.df, "row_id", HOPKINS_ROWS, frame.n, str(seed)).select(*frame.features).toPandas()
-    x = pdf.to_numpy(dtype=float)
-    if len(x) < 2:
+    The probes are the only sample, and of fixed number; every row of the table is compared with them.
+    """
+    features = list(frame.features)
+    own = md5_sample(frame.df, "row_id", probes, frame.n, str(seed)).select("row_id", *features).toPandas()
+    if len(own) < 2:
         return 0.5
-    random = np.random.default_rng(seed).uniform(x.min(0), x.max(0), x.shape)
-    own = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
-    np.fill_diagonal(own, np.inf)
-    w = own.min(1).sum()
-    u = np.sqrt(((random[:, None, :] - x[None, :, :]) ** 2).sum(2)).min(1).sum()
+    x = own[features].to_numpy(dtype=float)
+    share = np.array([
+        [int(hashlib.md5(f"{seed}|{i}|{row}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(len(features))] for row in own["row_id"]
+    ])
+    points = np.concatenate([x, x.min(0) + (x.max(0) - x.min(0)) * share])
+    rows = np.concatenate([own["row_id"].to_numpy(), np.full(len(own), -1)])
+
+    def nearest(batches):
+        best = np.full(len(points), np.inf)
+        for batch in batches:
+            values = batch[features].to_numpy(dtype=float)
+            ids = batch["row_id"].to_numpy()
+            for k in range(0, len(values), 4096):
+                square = ((points[:, None, :] - values[None, k: k + 4096, :]) ** 2).sum(2)
+                square[rows[:, None] == ids[None, k: k + 4096]] = np.inf
+                best = np.minimum(best, square.min(1))
+        yield pd.DataFrame({"point": np.arange(len(points)), "square": best})
+
+    found = frame.df.select("row_id", *features).mapInPandas(nearest, "point int, square double")
+    least = found.groupBy("point").agg(F.min("square").alias("square")).orderBy("point").toPandas()["square"].to_numpy()
+    w, u = np.sqrt(least[: len(own)]).sum(), np.sqrt(least[len(own):]).sum()
     return float(u / (w + u)) if w + u > 0 else 0.5
 
 
@@ -230,12 +244,11 @@ def orthus(meta: dict[str, float], available: list[str]) -> list[str]:
 
 
 def fmms_table(frame: Frame, available: list[str]) -> DataFrame:
-    """Variance times range of each candidate's scores on a sample; failures are left out."""
-    sample = _sample(frame, FMMS_ROWS)
+    """Variance times range of each candidate's scores; failures are left out."""
     rows = []
-    for name in available[:FMMS_TRIED]:
+    for name in available:
         try:
-            scores = registry.create(name).fit_predict(sample)
+            scores = registry.create(name).fit_predict(frame)
             v, span = scores.agg(F.var_pop("score"), F.max("score") - F.min("score")).first()
             rows.append((name, float(v) * float(span)))
         except Exception:  # noqa: BLE001 - a candidate that cannot run is no candidate

@@ -53,23 +53,19 @@ def read_table(
 
 
 def detect_timestamp(df: DataFrame, names=TIMESTAMP_NAMES) -> str | None:
-    """Known name first, then a timestamp column, then a string column whose sample parses."""
+    """Known name first, then a timestamp column, then the first string column all of whose values parse."""
     for name in names:
         if name in df.columns:
             return name
     for field in df.schema:
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             return field.name
-    for field in df.schema:
-        if isinstance(field.dataType, T.StringType):
-            sample = df.where(F.col(field.name).isNotNull()).select(field.name).limit(5)
-            seen = sample.agg(
-                F.count(F.lit(1)).alias("n"),
-                F.count(F.try_to_timestamp(F.col(field.name))).alias("ok"),
-            ).first()
-            if seen["n"] and seen["n"] == seen["ok"]:
-                return field.name
-    return None
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return None
+    counts = [F.count(x).alias(f"{k}{i}") for i, c in enumerate(texts) for k, x in (("n", F.col(c)), ("ok", F.try_to_timestamp(F.col(c))))]
+    seen = df.agg(*counts).first()
+    return next((c for i, c in enumerate(texts) if seen[f"n{i}"] and seen[f"n{i}"] == seen[f"ok{i}"]), None)
 
 
 def process_timestamp(df: DataFrame, ts: str) -> DataFrame:
