@@ -376,3 +376,21 @@ def test_codes_of_large_dictionaries(spark, monkeypatch):
     rows = [("b",), (None,), ("a",), ("B",), ("a",), (None,)]
     got = encode.encode_category(spark.createDataFrame(rows, "v string"), "v").collect()
     assert sorted((str(r.v), r.v_encoded) for r in got) == [("B", 0), ("None", -1), ("None", -1), ("a", 1), ("a", 1), ("b", 2)]
+
+
+def test_quantiles_of_a_value_that_most_rows_have(spark):
+    pdf = pd.DataFrame({"s": ["a"] * 900 + ["b"] * 4 + [None] * 4, "x": [0.0] * 850 + list(range(50)) + [1.0, 5.0, 2.0, 2.0] + [3.0, 1.0, 2.0, 2.0]})
+    got = {r["s"]: r["q"] for r in quantiles_by(spark.createDataFrame(pdf, "s string, x double"), ["s"], "x", {"q": 0.97}).collect()}
+    want = {"a": np.quantile(pdf.x[:900], 0.97), "b": np.quantile([1.0, 5.0, 2.0, 2.0], 0.97), None: np.quantile([3.0, 1.0, 2.0, 2.0], 0.97)}
+    assert got == pytest.approx(want)
+
+
+def test_scale_by_equals_scale_of_each_series(spark):
+    pdf = pd.DataFrame({"s": ["a"] * 5 + ["b"] * 4, "x": [0.1] * 5 + [1.0, 2.0, 4.0, 8.0]})
+    df = spark.createDataFrame(pdf)
+    for method in ("standard", "minmax", "robust"):
+        got = sorted((r["s"], r["x"]) for r in scale_by(df, ["x"], ["s"], method).collect())
+        want = sorted((s, r["x"]) for s in "ab" for r in scale(df.where(F.col("s") == s), ["x"], method).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+        assert str(got[0][1]) == "0.0"

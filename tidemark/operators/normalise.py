@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantile import quantiles, quantiles_by
+from tidemark.operators.skew import join_series
 
 
 def minmax(df: DataFrame, raw: str = "raw", out: str = "score", flip: bool = False) -> DataFrame:
@@ -26,7 +27,7 @@ def quantile_clip_by(df: DataFrame, series, low: float, high: float, raw: str =
     ramp = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise(
         F.least(F.greatest((F.col(raw) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0))
     )
-    return df.join(q, list(series)).withColumn(out, ramp).drop("_lo", "_hi")
+    return join_series(df, q, series).withColumn(out, ramp).drop("_lo", "_hi")
 
 
 def above_one(df: DataFrame, raw: str = "raw", out: str = "score") -> DataFrame:

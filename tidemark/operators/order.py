@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.skew import join_series
 from tidemark.session import materialise, parallelism, shuffle_partitions
 
 MIN_BLOCK = 1024
@@ -68,7 +69,7 @@ def number_rows(
     )
     if series:
         first = out.groupBy(*series).agg(F.min(pos).alias("_first"))
-        out = out.join(first, list(series)).withColumn(pos, F.col(pos) - F.col("_first")).drop("_first")
+        out = join_series(out, first, series, total).withColumn(pos, F.col(pos) - F.col("_first")).drop("_first")
     return out, total
 
 

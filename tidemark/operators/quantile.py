@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import number_rows
+from tidemark.operators.order import prefix_sums
+from tidemark.operators.skew import join_series
+from tidemark.session import materialise
 
 SMALL = 2_000_000  # values the built-in exact percentile may hold in one task
 _ACCURACY = 10_000
@@ -135,20 +137,23 @@ def median(df: DataFrame, col: str, n: int | None = None) -> float | None:
 def quantiles_by(
     df: DataFrame, series: Sequence[str], col: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact quantiles per series, one row each; a series may be as large as the table.
+    """Exact quantiles per series, one row each; a series, or one value, may hold most of the table.
 
-    Values are numbered by one range sort on (series, value), then the two rows
-    next to every wanted rank are picked and interpolated.
+    Rows are counted per (series, value) first, so equal values are one row from there on.  The running
+    totals over the distinct values tell which of them cover the two ranks next to each wanted one.
     """
-    values = df.where(F.col(col).isNotNull()).select(*series, F.col(col).cast("double").alias("_v"))
-    placed, _ = number_rows(values, ["_v"], series, "_rank")
-    sizes = values.groupBy(*series).agg(F.count(F.lit(1)).alias("_n"))
-    placed = placed.join(sizes, list(series))
+    values = df.where(F.col(col).isNotNull()).groupBy(*series, F.col(col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    running = materialise(prefix_sums(values, [*series, "_v"], {"_upto": "_c"}), "running")
+    sizes = running.groupBy(*series).agg(F.sum("_c").alias("_n"), F.min(F.col("_upto") - F.col("_c")).alias("_first"))
+    placed = join_series(running, materialise(sizes, "series-sizes"), series)
+    last = F.col("_upto") - F.col("_first")  # ranks from last - _c to last - 1 have this value
     picks = []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
-        lo = F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v")))
-        hi = F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v")))
+        lo = F.max(F.when((F.floor(at) < last) & (F.floor(at) >= last - F.col("_c")), F.col("_v")))
+        hi = F.max(F.when((F.ceil(at) < last) & (F.ceil(at) >= last - F.col("_c")), F.col("_v")))
         part = F.max(at - F.floor(at))
         picks.append((lo + (hi - lo) * part).alias(name))
     return placed.groupBy(*series).agg(*picks)

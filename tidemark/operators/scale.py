@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantile import quantiles, quantiles_by
+from tidemark.operators.skew import join_series
 
 METHODS = ("standard", "minmax", "robust")
 
@@ -71,24 +72,26 @@ def scale_by(df: DataFrame, cols: Sequence[str], series: Sequence[str], method:
         for i, c in enumerate(cols):
             q = quantiles_by(df, series, c, {f"_l{i}": 0.25, f"_a{i}": 0.5, f"_h{i}": 0.75})
             q = q.withColumn(f"_b{i}", F.col(f"_h{i}") - F.col(f"_l{i}")).drop(f"_l{i}", f"_h{i}")
-            stats = q if stats is None else stats.join(q, list(series))
+            stats = q if stats is None else join_series(stats, q, series)
     elif method in METHODS:
         low = {"standard": F.avg, "minmax": lambda c: F.min(F.col(c).cast("double"))}[method]
         width = {
             "standard": F.stddev_pop,
             "minmax": lambda c: F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double")),
         }[method]
+        # a constant column is one whose extremes agree; rounding must not give it a deviation
+        still = lambda c: F.min(F.col(c).cast("double")) == F.max(F.col(c).cast("double"))
         stats = df.groupBy(*series).agg(
             *[low(c).alias(f"_a{i}") for i, c in enumerate(cols)],
-            *[width(c).alias(f"_b{i}") for i, c in enumerate(cols)],
+            *[F.when(still(c), F.lit(0.0)).otherwise(width(c)).alias(f"_b{i}") for i, c in enumerate(cols)],
         )
     else:
         raise ValueError(f"unknown scaling method {method}; expected one of {METHODS}")
     scaled = {
-        c: F.when(F.col(f"_b{i}") == 0, (F.col(c) - F.col(f"_a{i}")) * (0.0 if method != "robust" else 1.0)).otherwise(
-            (F.col(c) - F.col(f"_a{i}")) / F.col(f"_b{i}")
+        c: F.when(F.col(c).isNotNull() & (F.col(f"_b{i}") == 0), F.lit(0.0) if method != "robust" else F.col(c) - F.col(f"_a{i}")).otherwise(
+            (F.col(c) - F.col(f"_a{i}")) / F.when(F.col(f"_b{i}") != 0, F.col(f"_b{i}"))
         )
         for i, c in enumerate(cols)
     }
-    joined = df.join(stats, list(series))
+    joined = join_series(df, stats, series)
     return joined.withColumns(scaled).select(*df.columns)

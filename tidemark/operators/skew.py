@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,17 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, n_left: int) -> Dat
     served = left.join(F.broadcast(hot_right), key)
     rest = left.join(F.broadcast(keys), key, "left_anti").join(right, key)
     return served.unionByName(rest)
+
+
+def join_series(left: DataFrame, right: DataFrame, series: Sequence[str], n_left: int | None = None) -> DataFrame:
+    """Inner join on the columns of a series (NULL equals NULL); ``right`` has one row per series.
+
+    A series may hold most of the rows: it is served like any other huge key.
+    """
+    key = F.xxhash64(*series)
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in series})
+    keyed = named.withColumn("_series", F.xxhash64(*[f"_right_{c}" for c in series]))
+    joined = join_unique(left.withColumn("_series", key), keyed, "_series", left.count() if n_left is None else n_left)
+    for c in series:  # series whose hashes meet are told apart
+        joined = joined.where(F.col(c).eqNullSafe(F.col(f"_right_{c}")))
+    return joined.drop("_series", *[f"_right_{c}" for c in series])
