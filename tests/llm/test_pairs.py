@@ -146,7 +146,8 @@ def leaks(docs, items):
                     item, iw = tokens[number]
                     equal = [0 <= p - at + j < len(w) and w[p - at + j] == x for j, x in enumerate(iw)]
                     size = min(len(iw), WINDOW)
-                    best = max(sum(equal[j: j + size]) for j in range(len(iw) - size + 1))
+                    around = range(max(0, at + SPAN - size), min(at, len(iw) - size) + 1)
+                    best = max(sum(equal[j: j + size]) for j in around)
                     if best >= SHARE * size:
                         out[i, item] = max(out.get((i, item), 0), best)
     return out

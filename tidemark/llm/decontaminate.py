@@ -16,6 +16,7 @@ from tidemark.session import materialise
 MASKS = ("1101011011", "1110010111")
 SPAN = len(MASKS[0])
 WINDOW = 16  # words compared at most around a hit
+BEFORE = WINDOW - SPAN  # words before a hit that such a window may begin with
 SHARE = 0.8  # of them that must be equal
 BLOCK = 1_000_000  # benchmark seeds that are sent to every task at once
 
@@ -40,11 +41,11 @@ def _seeds(hashes: Column, place: Column) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _tag, item_id, start, matched, compared): benchmark items that a document holds, once each.
 
-    After a seed hit the item is laid over the document, and of the windows of 16 words along the item (the
-    whole item if it is shorter; places beyond the document's ends count as different) the one with most
-    equal words decides: ``matched`` of ``compared`` words, at least 80 %.  ``start`` is the word of the
-    document that the item's first word lies on, negative if the item begins before the document.  Of
-    several alignments the best counts, of equal ones the first.
+    After a seed hit the item is laid over the document there, and of the windows of 16 words of the item that
+    hold the hit (the whole item if it is shorter; places beyond the document's ends count as different) the
+    one with most equal words decides: ``matched`` of ``compared`` words, at least 80 %.  ``start`` is the
+    word of the document that the item's first word lies on, negative if the item begins before the
+    document.  Of several hits the best counts, of equal ones the first.
 
     Items with fewer than 10 words have no seed and are never found; NULL texts have no words.  Benchmark
     rows that share an item_id are judged one by one and reported together, as are documents that share id
@@ -55,7 +56,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     hashed = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_item")).where(F.size("_item") >= SPAN)
     placed = hashed.select("item_id", "_item", _places(F.col("_item")).alias("_at"))
-    seeds = placed.select("item_id", "_item", "_at", _seeds(F.col("_item"), F.col("_at")).alias("_seed")).distinct()
+    size = F.size("_item")
+    compared = F.least(size, F.lit(WINDOW))
+    placed = placed.select(
+        "item_id", "_at", _around(F.col("_item"), F.col("_at")).alias("_near"), compared.alias("compared"),
+        (F.greatest(F.lit(0), F.col("_at") + SPAN - compared) - F.col("_at") + BEFORE).alias("_low"),
+        (F.least(F.col("_at"), size - compared) - F.col("_at") + BEFORE).alias("_high"),
+        _seeds(F.col("_item"), F.col("_at")).alias("_seed"),
+    )
+    seeds = placed.distinct()
     seeds = materialise(seeds, "seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = rows.select("doc_id", F.xxhash64("_text").alias("_tag"), word_hashes(F.col("_text")).alias("_words"))
@@ -64,31 +73,48 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = max(1, -(-seeds.count() // BLOCK))
     found = None
     for block in range(blocks):
-        part = seeds.where(F.pmod(F.xxhash64("_seed"), F.lit(blocks)) == block)
+        part = seeds.where(F.pmod(F.xxhash64("_seed"), F.lit(blocks)) == block) if blocks > 1 else seeds
         hits = _verified(rows, part)
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy("doc_id", "_tag", "item_id").agg(
-        F.max(F.struct("matched", (-F.col("start")).alias("_late"), "compared")).alias("_best")
+        F.max(F.struct("_holds", "matched", (-F.col("start")).alias("_late"), "compared")).alias("_best")
     )
-    return best.select("doc_id", "_tag", "item_id", (-F.col("_best._late")).alias("start"), "_best.matched", "_best.compared")
+    return best.where("_best._holds").select("doc_id", "_tag", "item_id", (-F.col("_best._late")).alias("start"), "_best.matched", "_best.compared")
+
+
+def _around(hashes: Column, place: Column) -> Column:
+    """The words from 6 before a place to 16 from it on; NULL beyond the text."""
+    return F.array(*(F.get(hashes, place + i) for i in range(-BEFORE, WINDOW)))
 
 
 def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
-    hits = rows.join(F.broadcast(seeds), "_seed").withColumn("start", F.col("_p") - F.col("_at"))
-    size = F.size("_item")
-    # equal words along the alignment; a place before or behind the document is NULL and counts as different
-    equal = F.transform(
-        F.sequence(F.lit(0), size - 1),
-        lambda i: F.when(F.when(F.col("start") + i >= 0, F.get("_words", F.col("start") + i)) == F.get("_item", i), 1).otherwise(0),
-    )
-    hits = hits.select("doc_id", "_tag", "item_id", "start", F.least(size, F.lit(WINDOW)).alias("compared"), equal.alias("_equal"))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("_equal") - F.col("compared") + 1),
-        lambda i: F.aggregate(F.slice("_equal", i, F.col("compared")), F.lit(0), lambda a, x: a + x),
+    """Every hit with the best count of equal words and whether it suffices.
+
+    Explode and join are one piece of generated code that stays small enough to be compiled; it cuts the
+    words around a hit out of the document, so that no hit carries all words of its document.  Whether a
+    hit holds is only asked after the aggregation, for a condition on it would move into the join.
+    """
+    hits = rows.join(F.broadcast(seeds), "_seed")
+    first = F.greatest(F.col("_p") - BEFORE, F.lit(0))
+    hits = hits.select(
+        "doc_id", "_tag", "item_id", (F.col("_p") - F.col("_at")).alias("start"), "compared", "_low", "_high", "_near",
+        F.slice("_words", first + 1, F.lit(BEFORE + WINDOW)).alias("_around"), (F.col("_p") - first - BEFORE).alias("_lead"),
     )
-    return hits.select("doc_id", "_tag", "item_id", "start", "compared", F.array_max(windows).alias("matched")).where(
-        F.col("matched") >= SHARE * F.col("compared")
+    bits = F.aggregate(
+        F.sequence(F.lit(0), F.lit(BEFORE + WINDOW - 1)), F.lit(0),
+        lambda total, k: total + F.when(
+            (k + F.col("_lead") < F.size("_around")) & (F.get("_around", k + F.col("_lead")) == F.get("_near", k)), F.call_function("shiftleft", F.lit(1), k)
+        ).otherwise(F.lit(0)),
     )
+    hits = hits.select("doc_id", "_tag", "item_id", "start", "compared", "_low", "_high", bits.alias("_bits"))
+    # equal words of the window that begins at place a of the neighbourhood
+    whole = F.expr("shiftleft(1, compared) - 1")
+    sums = [
+        F.when((F.col("_low") <= a) & (F.col("_high") >= a), F.bit_count(F.col("_bits").bitwiseAND(whole * (1 << a)))).otherwise(F.lit(0))
+        for a in range(BEFORE + 1)
+    ]
+    hits = hits.select("doc_id", "_tag", "item_id", "start", "compared", F.greatest(*sums).alias("matched"))
+    return hits.withColumn("_holds", F.col("matched") >= SHARE * F.col("compared"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,14 +141,11 @@ dp AS (SELECT id, w, len(w) AS n, unnest(range(0, len(w) - {SPAN - 1})) AS p FRO
 bp AS (SELECT id, w, len(w) AS n, unnest(range(0, len(w) - {SPAN - 1})) AS p FROM b WHERE len(w) >= {SPAN}),
 ds AS ({_SEEDS.replace('PLACES', 'dp')}),
 bs AS ({_SEEDS.replace('PLACES', 'bp')}),
-hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS start, bs.n AS size, least(bs.n, {WINDOW}) AS compared
+hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS start, bs.p AS q, bs.n AS size, least(bs.n, {WINDOW}) AS compared
          FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
-laid AS (SELECT h.doc_id, h.item_id, h.start, h.compared, i,
-                CASE WHEN h.start + i >= 0 AND d.w[h.start + i + 1] = b.w[i + 1] THEN 1 ELSE 0 END AS equal
-         FROM (SELECT *, unnest(range(0, size)) AS i FROM hits) h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
-summed AS (SELECT doc_id, item_id, compared, i,
-                  sum(equal) OVER w AS upto, count(*) OVER w AS n,
-                  sum(equal) OVER w - coalesce(sum(equal) OVER (PARTITION BY doc_id, item_id, start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND compared PRECEDING), 0) AS matched
-           FROM laid WINDOW w AS (PARTITION BY doc_id, item_id, start ORDER BY i ROWS UNBOUNDED PRECEDING))
+laid AS (SELECT *, unnest(range(greatest(0, q + {SPAN} - compared), least(q, size - compared) + 1)) AS a FROM hits),
+held AS (SELECT doc_id, item_id, compared, list_sum(list_transform(range(a, a + compared),
+           lambda i: CASE WHEN start + i >= 0 AND d.w[start + i + 1] = b.w[i + 1] THEN 1 ELSE 0 END)) AS matched
+         FROM laid JOIN d ON d.id = doc_id JOIN b ON b.id = item_id)
 SELECT doc_id, item_id, CAST(max(matched) AS INTEGER) AS matched, CAST(max(compared) AS INTEGER) AS compared
-FROM summed WHERE n >= compared AND matched >= {SHARE} * compared GROUP BY doc_id, item_id"""
+FROM held WHERE matched >= {SHARE} * compared GROUP BY doc_id, item_id"""
