@@ -51,10 +51,10 @@ def test_quality(spark):
     rng = np.random.default_rng(5)
     noise = "".join(map(chr, rng.integers(33, 127, 9000)))
     spaced = " ".join(noise[k: k + 6] for k in range(0, 9000, 6))
-    rows = near_texts(6, 100) + ODD + [
-        (1, "line one\nline two\nline one\n line one\n\n\nline two"), (2, "ü#* ß$ é|" * 30), (3, spaced), (4, "ab " * 400),
-        (5, " ".join(f"w{i}" for i in range(40)) + " " + " ".join(f"w{i}" for i in range(8))),
-        (6, " ".join(f"{c} " * 7 for c in ["word" + str(i) for i in range(60)])),
+    rows = near_texts(2006, 100) + ODD + [
+        (2001, "line one\nline two\nline one\n line one\n\n\nline two"), (2002, "ü#* ß$ é|" * 30), (2003, spaced), (2004, "ab " * 400),
+        (2005, " ".join(f"w{i}" for i in range(40)) + " " + " ".join(f"w{i}" for i in range(8))),
+        (2006, " ".join(f"{c} " * 7 for c in ["word" + str(i) for i in range(60)])),
     ]
     got = judge_quality(frame(spark, rows)).collect()
     texts = {}
@@ -64,10 +64,10 @@ def test_quality(spark):
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in texts[r.doc_id]
         assert not (r.kept and r.base_failed)
-    kept = {r.doc_id: r.kept for r in got if r.doc_id in (3, 4, 6)}
-    assert kept == {3: False, 4: False, 6: False}
-    ratio = next(r.ratio for r in got if r.doc_id == 3)
-    assert ratio == len(zstandard.ZstdCompressor(level=3).compress(spaced.encode())) / len(spaced.encode()) > 0.8
+    kept = {r.doc_id: r.kept for r in got if r.doc_id in (2003, 2004, 2006)}
+    assert kept == {2003: False, 2004: False, 2006: False}
+    ratio = next(r.ratio for r in got if r.doc_id == 2003)
+    assert ratio == len(zstandard.ZstdCompressor(level=3).compress(spaced.encode())) / len(spaced.encode()) > 0.75
     assert judge_quality(frame(spark, rows[:0])).count() == 0
 
 

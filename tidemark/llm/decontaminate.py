@@ -120,7 +120,7 @@ def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, that hold no benchmark item (see ``find_leaks``)."""
     leaks = materialise(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak_id"), F.col("_tag").alias("_leak_tag")).distinct(), "leaks")
-    same = docs[id_col].eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs[text_col]) == F.col("_leak_tag"))
+    same = docs[id_col].eqNullSafe(leaks["_leak_id"]) & (F.xxhash64(docs[text_col]) == leaks["_leak_tag"])
     return docs.join(leaks, same, "left_anti")
 
 

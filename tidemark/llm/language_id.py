@@ -136,29 +136,28 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
     return found
 
 
-def _judged(docs: DataFrame, model: LanguageModel, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (all) of ``docs`` with ``_lang`` and ``_score``; one scan."""
+def _judged(docs: DataFrame, model: LanguageModel, text_col: str, carry: list[str], lang: str, score: str) -> DataFrame:
+    """The columns ``carry`` of ``docs`` with the language and its score; one scan."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = docs.columns if carry is None else carry
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    rows = docs.select(*carried, F.col(text_col).alias("_judged_text"))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(*carry, F.col(text_col).alias("_judged_text"))
 
     def judge(batches):
         m = shared.value
         for batch in batches:
-            column = batch.column(len(carried))
+            column = batch.column(len(carry))
             data, offsets = text_bytes(column)
             letters = _has_letter(column, data, offsets)
             names, scores = [], []
             for low, high in pieces(offsets):
-                name, score = _decide(m, data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], letters[low:high])
-                names += name.tolist()
-                scores += score.tolist()
+                best, known = _decide(m, data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], letters[low:high])
+                names += best.tolist()
+                scores += known.tolist()
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(carried)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carried, "_lang", "_score"]
+                [*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, lang, score]
             )
 
-    return rows.mapInArrow(judge, f"{fields}, _lang string, _score double")
+    return rows.mapInArrow(judge, f"{fields}, `{lang}` string, `{score}` double")
 
 
 def _decide(m: LanguageModel, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,13 +186,13 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     NULL and repeated ids are passed through, other columns ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
-    judged = _judged(rows, model, "_text", carry=[id_col])
-    return judged.withColumnsRenamed({"_lang": "lang_pred", "_score": "score"})
+    return _judged(rows, model, "_text", [id_col], "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.2, text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, whose text has a language and at least ``least_score`` of its n-grams known in it."""
-    return _judged(docs, model, text_col).where((F.col("_lang") != "und") & (F.col("_score") >= least_score)).drop("_lang", "_score")
+    lang, score = ("_" * (1 + max(map(len, docs.columns))) + c for c in ("lang", "score"))  # longer than any name there is
+    return _judged(docs, model, text_col, docs.columns, lang, score).where((F.col(lang) != "und") & (F.col(score) >= least_score)).drop(lang, score)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -213,16 +213,18 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     text come back to it by its digest.  Copies of one text share that row.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
-    found = docs.select(*columns).withColumn("_found", entities(F.col(text_col)))
-    plain = found.where(F.size("_found") <= 0).select(*columns, F.lit(0).cast("long").alias("n_entities"))
-    held = materialise(found.where(F.size("_found") > 0).withColumn("_digest", F.md5(F.col(text_col).cast("binary"))), "held")
+    # the row travels as one struct, so that its names cannot meet those used here
+    found = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), entities(F.col(text_col)).alias("_found"))
+    count = F.size("_found").cast("long").alias("n_entities")
+    plain = found.where(F.size("_found") <= 0).select("_row.*", F.lit(0).cast("long").alias("n_entities"))
+    held = materialise(found.where(F.size("_found") > 0).withColumn("_digest", F.md5(F.col("_text").cast("binary"))), "held")
     pairs = materialise(held.select("_digest", F.explode(F.array_distinct("_found")).alias("value")).distinct(), "pairs")
     given = materialise(assign_surrogates(pairs.select("value"), key).select("value", "surrogate"), "surrogates")
     maps = pairs.join(given, "value").groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map"))
     maps = materialise(maps, "maps")
-    between = F.split(F.col(text_col), ENTITY, -1)
+    between = F.split("_text", ENTITY, -1)
     new = F.transform("_found", lambda v: F.element_at("_map", v))
     # the text between entities, each followed by a surrogate; nothing follows the last
     whole = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = held.join(maps, "_digest").withColumn(text_col, whole).select(*columns, F.size("_found").cast("long").alias("n_entities"))
-    return changed.unionByName(plain)
+    changed = held.join(maps, "_digest").select(F.col("_row").withField(f"`{text_col}`", whole).alias("_row"), count)
+    return changed.select("_row.*", "n_entities").unionByName(plain)
