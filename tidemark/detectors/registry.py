@@ -36,6 +36,11 @@ def register_detector(name: str, category: str, requirements: Requirements, cls:
     _REGISTRY[name] = Entry(name, category, requirements, cls)
 
 
+def unregister_detector(name: str) -> None:
+    """Forget a detector; unknown names are no error."""
+    _REGISTRY.pop(name, None)
+
+
 # fixed values: minimum rows and capabilities of the twelve detectors
 for _name, _category, _need, _cls in (
     ("isolation_forest", "statistical", Requirements(10), statistical.IsolationForest),
