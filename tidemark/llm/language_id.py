@@ -81,7 +81,7 @@ def _count(batches):
         langs = np.array(batch.column(1).to_pylist(), object)
         for lang in np.unique(langs):
             data, offsets = text_bytes(batch.column(0).filter(pa.array(langs == lang)))
-            for low, high in pieces(offsets, 16 << 20):
+            for low, high in pieces(offsets, 6 << 20):
                 parts = [
                     grams(data[offsets[low + a]: offsets[low + b]], offsets[low + a: low + b + 1] - offsets[low + a])[0]
                     for a, b in pieces(offsets[low: high + 1])
@@ -136,28 +136,16 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
     return found
 
 
-def _judged(docs: DataFrame, model: LanguageModel, text_col: str, carry: list[str], lang: str, score: str) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with the language and its score; one scan."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    rows = docs.select(*carry, F.col(text_col).alias("_judged_text"))
-
-    def judge(batches):
-        m = shared.value
-        for batch in batches:
-            column = batch.column(len(carry))
-            data, offsets = text_bytes(column)
-            letters = _has_letter(column, data, offsets)
-            names, scores = [], []
-            for low, high in pieces(offsets):
-                best, known = _decide(m, data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], letters[low:high])
-                names += best.tolist()
-                scores += known.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*carry, lang, score]
-            )
-
-    return rows.mapInArrow(judge, f"{fields}, `{lang}` string, `{score}` double")
+def _judge(m: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch, piece by piece."""
+    data, offsets = text_bytes(column)
+    letters = _has_letter(column, data, offsets)
+    names, scores = [], [np.zeros(0)]
+    for low, high in pieces(offsets):
+        best, known = _decide(m, data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], letters[low:high])
+        names += best.tolist()
+        scores.append(known)
+    return names, np.concatenate(scores)
 
 
 def _decide(m: LanguageModel, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +173,30 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     a text with letters but no n-gram of any language gets the one with most training text and score 0.
     NULL and repeated ids are passed through, other columns ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
-    return _judged(rows, model, "_text", [id_col], "lang_pred", "score")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        for batch in batches:
+            names, scores = _judge(shared.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["_id", "lang_pred", "score"])
+
+    return rows.mapInArrow(judge, "_id long, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.2, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language and at least ``least_score`` of its n-grams known in it."""
-    lang, score = ("_" * (1 + max(map(len, docs.columns))) + c for c in ("lang", "score"))  # longer than any name there is
-    return _judged(docs, model, text_col, docs.columns, lang, score).where((F.col(lang) != "und") & (F.col(score) >= least_score)).drop(lang, score)
+    """Rows of ``docs``, all columns, whose text has a language and at least ``least_score`` of its n-grams known in it.
+
+    Only the text goes to Python and only the verdict comes back; the rows wait in the JVM.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        names, scores = _judge(shared.value, text)
+        return pa.array((np.array(names, object) != "und") & (scores >= least_score), pa.bool_())
+
+    return docs.where(known(F.col(text_col)))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -150,26 +150,25 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     counted = materialise(pieces.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     counts = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     lengths, ranks, first_bin, uses, where, places = _slots(plan_bins(counts, capacity))
-    # parts before this one hold so many pieces of the length; summed natively by ranges of parts
     offsets = _offsets(counted)
 
-    def locate(batches):
-        for batch in batches:
-            size, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_at"))
-            # the last entry of this length that begins at or before the rank
-            low, high = np.searchsorted(lengths, size, "left"), np.searchsorted(lengths, size, "right")
-            while (open_ := high - low > 1).any():
-                middle = (low + high) // 2
-                up = open_ & (ranks[np.minimum(middle, len(ranks) - 1)] <= rank)
-                low, high = np.where(up, middle, low), np.where(open_ & ~up, middle, high)
-            step = rank - ranks[low]
-            sequence = first_bin[low] + step // uses[low]
-            offset = places[where[low] + step % uses[low]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
-
-    ranked = pieces.join(offsets, ["_part", "length"]).withColumn("_at", F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
-    return ranked.mapInArrow(locate, f"{fields}, sequence_id long, offset long").drop("_at")
+    @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
+    def locate(length: pa.Array, at: pa.Array) -> pa.Array:
+        size, rank = length.to_numpy(zero_copy_only=False), at.to_numpy(zero_copy_only=False)
+        # the last entry of this length that begins at or before the rank
+        low, high = np.searchsorted(lengths, size, "left"), np.searchsorted(lengths, size, "right")
+        while (open_ := high - low > 1).any():
+            middle = (low + high) // 2
+            up = open_ & (ranks[np.minimum(middle, len(ranks) - 1)] <= rank)
+            low, high = np.where(up, middle, low), np.where(open_ & ~up, middle, high)
+        step = rank - ranks[low]
+        sequence = first_bin[low] + step // uses[low]
+        offset = places[where[low] + step % uses[low]]
+        return pa.StructArray.from_arrays([pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=["sequence_id", "offset"])
+
+    kept = [c for c in pieces.columns if c not in ("_part", "_rank")]
+    ranked = pieces.join(offsets, ["_part", "length"]).withColumn("_place", locate(F.col("length"), F.col("_rank") + F.col("_before")))
+    return ranked.select(*kept, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
 
 
 def _offsets(counted: DataFrame) -> DataFrame:
