@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import LINE_FEATURES, SCORED_SQL, event_frame, lines, query, r, scratch, table
+from catalog.registry import LINE_FEATURES, SCORED_SQL, event_frame, line_values, query, r, scratch, table
 from tidemark.detectors import registry
 from tidemark.detectors.base import Detector
 from tidemark.operators.scale import METHODS, scale
@@ -123,7 +123,7 @@ def run_audit(spark, sf):
 @query("selection_summary", """SELECT unnest(['enabled', 'methods_used', 'selected', 'min_models', 'max_models', 'n_samples', 'n_features']) AS item,
   unnest(['True', 'metaod,orthus', 'pca', '2', '5', CAST(count(*) AS VARCHAR), '4']) AS value FROM lineitem""")
 def selection_summary(spark, sf):
-    meta = selection.shape_features(lines(spark, sf))
+    meta = selection.shape_features(line_values(spark, sf))
     s = selection.selection_summary(["pca"], meta, ("metaod", "orthus"))
     shown = {
         "enabled": s["enabled"], "methods_used": ",".join(s["methods_used"]), "selected": ",".join(s["selected"]), **s["constraints"],

@@ -42,11 +42,11 @@ def knn_join(spark, sf):
 @query("knn_join_low_dimension", f"""WITH {PARTS_SQL}, d AS (
   SELECT p.row_id, q.row_id AS nbr_id, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS dist
   FROM pt p JOIN pt q ON p.row_id <> q.row_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist) AS rank FROM d)
-SELECT row_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
+k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY dist, nbr_id) AS rank FROM d)
+SELECT row_id, nbr_id, round(dist, 6) AS dist, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
 def knn_join_low_dimension(spark, sf):
     v = F.array("p_size", "p_retailprice")
-    return neighbours.knn_join(parts(spark, sf), v, 5).select("row_id", r("dist").alias("dist"), "rank")
+    return neighbours.knn_join(parts(spark, sf), v, 5).select("row_id", "nbr_id", r("dist").alias("dist"), "rank")
 
 
 @query("radius_join", f"""WITH {PARTS_SQL}

@@ -56,6 +56,12 @@ def lines(spark, sf) -> Frame:
     return Frame.of(table(spark, sf, "lineitem"), LINE_FEATURES, LINE_ORDER)
 
 
+def line_values(spark, sf) -> Frame:
+    """The same features without an order, for characteristics that do not depend on one."""
+    df = table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("row_id"), *LINE_FEATURES)
+    return Frame(df, LINE_FEATURES, df.count())
+
+
 LINES_SQL = f"""li AS (
   SELECT row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) - 1 AS row_id,
          l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_partkey FROM lineitem)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.features import COV_SQL, TWO_COLUMNS, scaled_pair
 from catalog.registry import (
-    LINES_SQL, LINE_FEATURES, MODELS, SCORED_SQL, TWO_SQL, event_frame, lines, query, r, scored_events, table, two_models,
+    LINES_SQL, LINE_FEATURES, MODELS, SCORED_SQL, TWO_SQL, event_frame, line_values, lines, query, r, scored_events, table, two_models,
 )
 from catalog.sources import SUMMARY_SQL
 from tidemark.detectors import registry
@@ -31,13 +31,13 @@ _MEAN = lambda parts: f"({' + '.join(parts)}) / {len(parts)}.0"
 
 @query("meta_shape", "SELECT CAST(count(*) AS DOUBLE) AS n_samples, 4.0::DOUBLE AS n_features, round(4.0 / count(*), 9) AS dimensionality_ratio FROM lineitem")
 def meta_shape(spark, sf):
-    m = selection.shape_features(lines(spark, sf))
+    m = selection.shape_features(line_values(spark, sf))
     return one_row(spark, m | {"dimensionality_ratio": round(m["dimensionality_ratio"], 9)})
 
 
 @query("meta_correlation", f"SELECT round({_MEAN([f'abs(corr({a}, {b}))' for a, b in _PAIRS])}, 7) AS mean_correlation FROM lineitem")
 def meta_correlation(spark, sf):
-    return one_row(spark, {"mean_correlation": round(selection.covariance_features(lines(spark, sf))["mean_correlation"], 7)})
+    return one_row(spark, {"mean_correlation": round(selection.covariance_features(line_values(spark, sf))["mean_correlation"], 7)})
 
 
 def _moment(c, k):
@@ -49,7 +49,7 @@ WITH s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for
 SELECT round({_MEAN([f'abs{_moment(c, 3)}' for c in LINE_FEATURES])}, 6) AS skewness,
   round({_MEAN([f'({_moment(c, 4)} - 3)' for c in LINE_FEATURES])}, 6) AS kurtosis FROM lineitem, s""")
 def meta_moments(spark, sf):
-    return one_row(spark, {k: round(v, 6) for k, v in selection.moment_features(lines(spark, sf)).items()})
+    return one_row(spark, {k: round(v, 6) for k, v in selection.moment_features(line_values(spark, sf)).items()})
 
 
 OUTLIER_SQL = f"""q AS (SELECT {', '.join(f'quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}' for c in LINE_FEATURES)} FROM lineitem),
@@ -59,7 +59,7 @@ ou AS (SELECT {_MEAN([f'count(*) FILTER ({c} < a_{c} - 1.5 * (b_{c} - a_{c}) OR
 
 @query("meta_outliers", f"WITH {OUTLIER_SQL} SELECT round(outlier_fraction, 8) AS outlier_fraction FROM ou")
 def meta_outliers(spark, sf):
-    return one_row(spark, {"outlier_fraction": round(selection.outlier_fraction(lines(spark, sf)), 8)})
+    return one_row(spark, {"outlier_fraction": round(selection.outlier_fraction(line_values(spark, sf)), 8)})
 
 
 @query("meta_intrinsic_dimension", f"""WITH {COV_SQL}
@@ -179,7 +179,7 @@ REGISTRY_SQL = """rg(position, model, need, multi, lean) AS (VALUES
 @query("model_compatibility", f"""WITH {REGISTRY_SQL}, mt AS (SELECT count(*) AS n, 4 AS d FROM lineitem)
 SELECT model, CAST(need AS INTEGER) AS min_samples FROM rg, mt WHERE need <= n AND (multi OR d <= 1)""")
 def model_compatibility(spark, sf):
-    meta = selection.shape_features(lines(spark, sf))
+    meta = selection.shape_features(line_values(spark, sf))
     return selection.compatible(spark, meta).select("model", "min_samples")
 
 
@@ -191,7 +191,7 @@ s AS (SELECT position, model, CASE WHEN n > 10000 AND lean THEN 2 ELSE 0 END + C
 SELECT CAST(position AS INTEGER) AS position, model, CAST(suitability AS INTEGER) AS suitability FROM s
 ORDER BY suitability DESC, position LIMIT 5""")
 def model_recommendation(spark, sf):
-    return selection.recommend(spark, selection.shape_features(lines(spark, sf)))
+    return selection.recommend(spark, selection.shape_features(line_values(spark, sf)))
 
 
 # ---------------------------------------------------------------- chart tables

@@ -163,22 +163,27 @@ class Arima(Detector):
 
         def recur(batches):
             for batch in batches:
-                for block, at, w in zip(batch["_block"], batch["at"], batch["v"]):
-                    at = np.asarray(at)
-                    w = np.array([np.nan if v is None else v for v in w], dtype=float)
-                    base = w - const
-                    for i, f in enumerate(phi, 1):
-                        shifted = np.full(len(w), np.nan)
-                        shifted[i:] = w[:-i]
-                        base = base - f * shifted
-                    e = base
-                    if q:
-                        e = np.zeros(len(w) + q)
-                        for t, b in enumerate(base):
-                            e[t + q] = 0.0 if np.isnan(b) else b - theta @ e[t : t + q][::-1]
-                        e = np.where(np.isnan(base), np.nan, e[q:])
+                # blocks side by side: the recursion walks along a block, every step serves all of them
+                ats = [np.asarray(at) for at in batch["at"]]
+                longest = max((len(at) for at in ats), default=0)
+                w = np.full((longest, len(ats)), np.nan)
+                for k, values in enumerate(batch["v"]):
+                    w[: len(values), k] = [np.nan if v is None else v for v in values]
+                base = w - const
+                for i, f in enumerate(phi, 1):
+                    shifted = np.full_like(w, np.nan)
+                    shifted[i:] = w[:-i]
+                    base = base - f * shifted
+                e = base
+                if q:
+                    known = np.isfinite(base)
+                    e = np.zeros((longest + q, len(ats)))
+                    for t in range(longest):
+                        e[t + q] = np.where(known[t], base[t] - theta @ e[t: t + q][::-1], 0.0)
+                    e = np.where(known, e[q:], np.nan)
+                for k, (block, at) in enumerate(zip(batch["_block"], ats)):
                     own = at // size == block
-                    raw = np.abs(np.where(at >= start, e, np.nan))[own]
+                    raw = np.abs(np.where(at >= start, e[: len(at), k], np.nan))[own]
                     yield pd.DataFrame({"row_id": at[own], "raw": pd.array(raw, dtype="Float64")})
 
         return blocks.mapInPandas(recur, "row_id bigint, raw double")
