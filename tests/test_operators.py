@@ -394,3 +394,18 @@ def test_scale_by_equals_scale_of_each_series(spark):
         assert [g[0] for g in got] == [w[0] for w in want]
         assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
         assert str(got[0][1]) == "0.0"
+
+
+def test_tables_of_a_block_go_with_it(spark):
+    import os
+
+    from tidemark.session import discard, disposable, materialise
+
+    with disposable(spark) as keep:
+        with disposable(spark) as inner:
+            a, b = materialise(spark.range(3), "a"), inner(materialise(spark.range(4), "b"))
+        c = keep(materialise(b.selectExpr("id + 1 AS id"), "c"))
+    there = [os.path.isdir(x.written_to.removeprefix("file:")) for x in (a, b, c)]
+    assert there == [False, False, True] and c.count() == 4
+    discard(c)
+    assert not os.path.isdir(c.written_to.removeprefix("file:"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import join_unique
-from tidemark.session import materialise
+from tidemark.session import discard, disposable, materialise
 
 MAX_ROUNDS = 100
 
@@ -15,12 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, root): root is the smallest node reachable.
 
     Each round is two grouped minima; the edge table is written between rounds,
-    so the lineage stays short.  Nodes without an edge do not appear.
+    so the lineage stays short, and the one before it goes.  Nodes without an edge do not appear.
     """
     current = _tidy(edges)
     before = _signature(current)
     for _ in range(MAX_ROUNDS):
-        current = _tidy(_small_star(_large_star(current)))
+        with disposable(edges.sparkSession) as keep:
+            following = keep(_tidy(_small_star(_large_star(current))))
+        discard(current)
+        current = following
         now = _signature(current)
         if now == before:
             return _leaves_and_roots(current)

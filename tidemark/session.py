@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables made", default=None)
 
 
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only a local session, where
-    every task sees the same disk, may fall back to a temporary folder.
+    every task sees the same disk, may fall back to a temporary folder, which goes with the process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -25,6 +31,7 @@ def work_dir(spark: SparkSession) -> str:
     app = context.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
     return _LOCAL_DIRS[app]
 
 
@@ -38,7 +45,45 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{work_dir(spark)}/{app}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    _delete(df.sparkSession, df.written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def disposable(spark: SparkSession) -> Iterator:
+    """Tables that ``materialise`` writes inside go at the end, but for those passed to the function it gives.
+
+    What leaves the block must read kept tables only.  After a failure the tables stay, for a look at them.
+    """
+    outer, made = _MADE.get(), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.remove(df.written_to)
+        if outer is not None:
+            outer.append(df.written_to)
+        return df
+
+    token = _MADE.set(made)
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+    for path in made:
+        _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
