@@ -16,7 +16,7 @@ from tidemark.llm.language_id import held_out, keep_identified, learn
 from tidemark.llm.packing import pack, token_pieces
 from tidemark.llm.pii import replace_personal_data
 from tidemark.llm.queries import SURROGATE_KEY, table, tokenizer
-from tidemark.session import materialise
+from tidemark.session import discard, disposable, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with disposable(spark) as keep:
+            kept = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if hasattr(docs, "written_to"):
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import disposable, materialise
 
 #: 1: the word counts, 0: it may differ.
 MASKS = ("1101011011", "1110010111")
@@ -119,7 +119,8 @@ def _verified(rows: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns, that hold no benchmark item (see ``find_leaks``)."""
-    leaks = materialise(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak_id"), F.col("_tag").alias("_leak_tag")).distinct(), "leaks")
+    with disposable(docs.sparkSession) as keep:
+        leaks = keep(materialise(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_leak_id"), F.col("_tag").alias("_leak_tag")).distinct(), "leaks"))
     same = docs[id_col].eqNullSafe(leaks["_leak_id"]) & (F.xxhash64(docs[text_col]) == leaks["_leak_tag"])
     return docs.join(leaks, same, "left_anti")
 

@@ -26,7 +26,7 @@ from tidemark.llm.shared import found_elsewhere, unpack_places
 from tidemark.llm.words import Words, inside, pieces, ranges, row_of, text_bytes, windows
 from tidemark.operators.components import components
 from tidemark.operators.skew import join_unique
-from tidemark.session import materialise, shuffle_partitions
+from tidemark.session import disposable, materialise, shuffle_partitions
 
 PARITY = 4  # 64-bit words of a set's parity bitmap
 LIST_BLOCK = 1024  # sets of an index list compared at once
@@ -372,48 +372,49 @@ def near_copies(docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    sets = materialise(rows.mapInArrow(_digest(n), "_id long, n_shingles long, _d1 long, _d2 long"), "sets")
-    held = sets.where("n_shingles > 0 AND _id IS NOT NULL")
-    nodes = held.groupBy("_d1", "_d2", "n_shingles").agg(F.min("_id").alias("_node"))
-    nodes = materialise(nodes, "nodes")
-
-    rows = rows.where("_id IS NOT NULL")
-    seen = found_elsewhere(rows, _offer_sketch(n, share), earlier=False, exact=False)
-    alive = seen.select("doc_id", "tag", "places").mapInArrow(_surviving(share), "_node long").distinct()
-    alive = materialise(nodes.select("_node").distinct().join(alive, "_node", "left_semi"), "alive")
-    chosen = rows.join(alive, rows["_id"] == alive["_node"], "left_semi")
-    full = materialise(chosen.mapInArrow(_full_sets(n), "node long, size long, grams binary"), "full-sets")
-
-    total = max(1, full.count())
-    often = full.select("grams").mapInArrow(_frequent(1 / HOT_SHARE), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    hot = np.array([r["gram"] for r in often.where(F.col("n") > max(8, total // HOT_SHARE)).select("gram").collect()], np.int64).view(np.uint64)
-    postings = full.mapInArrow(_postings(hot, share), "gram long, size long, place long, node long, parity binary, hot boolean")
-    parts = shuffle_partitions(spark)
-    lists = postings.where("NOT hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram", "size", "place", "node")
-    near = materialise(lists.mapInArrow(_lists(share), "a long, b long"), "list-edges")
-    # sets meet at the node of a frequent n-gram and their class of size; a partner is in this class or the next
-    step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / share)))
-    knots = postings.where("hot").select(
-        F.col("node").alias("a"), F.explode(F.array(step, step + 1)).alias("_class"), "gram"
-    ).select("a", (-F.pmod(F.xxhash64("gram", "_class"), F.lit((1 << 62) - 1)) - 2).alias("b"))
-    knots = materialise(knots.distinct(), "knots")
-    clusters = materialise(components(near.unionByName(knots)).select(F.col("node"), F.col("root")), "clusters")
-
-    inside_ = full.join(clusters, "node").select("node", "size", "grams", "root")
-    sized = inside_.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_t")).where("_n > 1")
-    limit = max(BLOCK_SETS, 2 * total // parts)
-    sized = materialise(sized.select("root", F.greatest(F.ceil(F.col("_n") / limit), F.ceil(F.col("_t") / BLOCK_TOKENS)).cast("int").alias("_blocks")), "cluster-blocks")
-    placed = join_unique(inside_, sized, "root", total).withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    grid = placed.select("root", "node", "grams", "_mine", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_with"))
-    grid = grid.select("root", F.least("_mine", "_with").alias("i"), F.greatest("_mine", "_with").alias("j"), F.col("_mine").alias("mine"), "node", "grams")
-    grid = grid.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = materialise(grid.mapInArrow(_blocks(share), "a long, b long"), "links")
-
-    # equal sets: every other id of the set reaches its smallest one, so their own nodes need no edge
-    joined = components(links).groupBy("node").agg(F.min("root").alias("root"))
-    named = nodes.join(joined, nodes["_node"] == joined["node"], "left").select("_d1", "_d2", "n_shingles", F.coalesce("root", "_node").alias("component_id"))
-    named = materialise(named.select(F.xxhash64("_d1", "_d2", "n_shingles").alias("_key"), "component_id").groupBy("_key").agg(F.min("component_id").alias("component_id")), "components")
-    keyed = materialise(sets.select("_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("_d1", "_d2", "n_shingles")).alias("_key")), "keyed")
+    with disposable(spark) as keep:
+        sets = materialise(rows.mapInArrow(_digest(n), "_id long, n_shingles long, _d1 long, _d2 long"), "sets")
+        held = sets.where("n_shingles > 0 AND _id IS NOT NULL")
+        nodes = held.groupBy("_d1", "_d2", "n_shingles").agg(F.min("_id").alias("_node"))
+        nodes = materialise(nodes, "nodes")
+
+        rows = rows.where("_id IS NOT NULL")
+        seen = found_elsewhere(rows, _offer_sketch(n, share), earlier=False, exact=False)
+        alive = seen.select("doc_id", "tag", "places").mapInArrow(_surviving(share), "_node long").distinct()
+        alive = materialise(nodes.select("_node").distinct().join(alive, "_node", "left_semi"), "alive")
+        chosen = rows.join(alive, rows["_id"] == alive["_node"], "left_semi")
+        full = materialise(chosen.mapInArrow(_full_sets(n), "node long, size long, grams binary"), "full-sets")
+
+        total = max(1, full.count())
+        often = full.select("grams").mapInArrow(_frequent(1 / HOT_SHARE), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        hot = np.array([r["gram"] for r in often.where(F.col("n") > max(8, total // HOT_SHARE)).select("gram").collect()], np.int64).view(np.uint64)
+        postings = full.mapInArrow(_postings(hot, share), "gram long, size long, place long, node long, parity binary, hot boolean")
+        parts = shuffle_partitions(spark)
+        lists = postings.where("NOT hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram", "size", "place", "node")
+        near = materialise(lists.mapInArrow(_lists(share), "a long, b long"), "list-edges")
+        # sets meet at the node of a frequent n-gram and their class of size; a partner is in this class or the next
+        step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / share)))
+        knots = postings.where("hot").select(
+            F.col("node").alias("a"), F.explode(F.array(step, step + 1)).alias("_class"), "gram"
+        ).select("a", (-F.pmod(F.xxhash64("gram", "_class"), F.lit((1 << 62) - 1)) - 2).alias("b"))
+        knots = materialise(knots.distinct(), "knots")
+        clusters = materialise(components(near.unionByName(knots)).select(F.col("node"), F.col("root")), "clusters")
+
+        inside_ = full.join(clusters, "node").select("node", "size", "grams", "root")
+        sized = inside_.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_t")).where("_n > 1")
+        limit = max(BLOCK_SETS, 2 * total // parts)
+        sized = materialise(sized.select("root", F.greatest(F.ceil(F.col("_n") / limit), F.ceil(F.col("_t") / BLOCK_TOKENS)).cast("int").alias("_blocks")), "cluster-blocks")
+        placed = join_unique(inside_, sized, "root", total).withColumn("_mine", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        grid = placed.select("root", "node", "grams", "_mine", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_with"))
+        grid = grid.select("root", F.least("_mine", "_with").alias("i"), F.greatest("_mine", "_with").alias("j"), F.col("_mine").alias("mine"), "node", "grams")
+        grid = grid.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+        links = materialise(grid.mapInArrow(_blocks(share), "a long, b long"), "links")
+
+        # equal sets: every other id of the set reaches its smallest one, so their own nodes need no edge
+        joined = components(links).groupBy("node").agg(F.min("root").alias("root"))
+        named = nodes.join(joined, nodes["_node"] == joined["node"], "left").select("_d1", "_d2", "n_shingles", F.coalesce("root", "_node").alias("component_id"))
+        named = keep(materialise(named.select(F.xxhash64("_d1", "_d2", "n_shingles").alias("_key"), "component_id").groupBy("_key").agg(F.min("component_id").alias("component_id")), "components"))
+        keyed = keep(materialise(sets.select("_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.xxhash64("_d1", "_d2", "n_shingles")).alias("_key")), "keyed"))
     linked = join_unique(keyed.where("_key IS NOT NULL"), named, "_key", keyed.count())
     lone = keyed.join(named.select(F.col("_key").alias("_k")), F.col("_key") == F.col("_k"), "left_anti")
     return linked.select(F.col("_id").alias(id_col), "n_shingles", "component_id").unionByName(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import disposable, materialise
 
 # ------------------------------------------------------------------ patterns (fixed values, Java syntax)
 
@@ -217,11 +217,12 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     found = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), entities(F.col(text_col)).alias("_found"))
     count = F.size("_found").cast("long").alias("n_entities")
     plain = found.where(F.size("_found") <= 0).select("_row.*", F.lit(0).cast("long").alias("n_entities"))
-    held = materialise(found.where(F.size("_found") > 0).withColumn("_digest", F.md5(F.col("_text").cast("binary"))), "held")
-    pairs = materialise(held.select("_digest", F.explode(F.array_distinct("_found")).alias("value")).distinct(), "pairs")
-    given = materialise(assign_surrogates(pairs.select("value"), key).select("value", "surrogate"), "surrogates")
-    maps = pairs.join(given, "value").groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map"))
-    maps = materialise(maps, "maps")
+    with disposable(docs.sparkSession) as keep:
+        held = keep(materialise(found.where(F.size("_found") > 0).withColumn("_digest", F.md5(F.col("_text").cast("binary"))), "held"))
+        pairs = materialise(held.select("_digest", F.explode(F.array_distinct("_found")).alias("value")).distinct(), "pairs")
+        given = materialise(assign_surrogates(pairs.select("value"), key).select("value", "surrogate"), "surrogates")
+        maps = pairs.join(given, "value").groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map"))
+        maps = keep(materialise(maps, "maps"))
     between = F.split("_text", ENTITY, -1)
     new = F.transform("_found", lambda v: F.element_at("_map", v))
     # the text between entities, each followed by a surrogate; nothing follows the last

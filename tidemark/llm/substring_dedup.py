@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import found_elsewhere, unpack_places
 from tidemark.llm.words import Words, inside, pieces, ranges, text_bytes, windows
-from tidemark.session import materialise
+from tidemark.session import disposable, materialise
 
 #: A perfect difference set: every residue modulo the period is a difference of two of its members.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -118,10 +118,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = 13, id_col: str = "d
         F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 32)).alias("_tag"),
         F.col(text_col).alias("_text"),
     )
-    anchors = found_elsewhere(rows, _offer_anchors(window), earlier=False, exact=False)
-    anchors = materialise(anchors.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_anchors")), "anchors")
-    hot = found_elsewhere(rows.join(anchors, ["_id", "_tag"]).select("_id", "_tag", "_text", "_anchors"), _offer_windows(window), earlier=True, exact=True)
-    removed = materialise(hot.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_removed")), "removed")
+    with disposable(docs.sparkSession) as keep:
+        anchors = found_elsewhere(rows, _offer_anchors(window), earlier=False, exact=False)
+        anchors = materialise(anchors.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_anchors")), "anchors")
+        hot = found_elsewhere(rows.join(anchors, ["_id", "_tag"]).select("_id", "_tag", "_text", "_anchors"), _offer_windows(window), earlier=True, exact=True)
+        removed = keep(materialise(hot.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("places").alias("_removed")), "removed"))
     cut = rows.join(removed, ["_id", "_tag"], "left").select("_id", "_text", "_removed").mapInArrow(_cut(window), RESULT)
     return cut.select(F.when(F.col("_id") != NO_ID, F.col("_id")).alias(id_col), "n_words", "n_removed", "kept_text")
 

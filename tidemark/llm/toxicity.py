@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import NO_LETTER, Words, pieces, row_of, text_bytes
-from tidemark.session import materialise
+from tidemark.session import disposable, materialise
 
 SAMPLE = 20_000  # labelled rows that the fit sees, about; all of them if there are fewer
 FEATURES = 2_000  # words and word beginnings with a weight
@@ -71,7 +71,13 @@ def _known(hashes: np.ndarray, rows: np.ndarray, vocabulary: np.ndarray) -> tupl
     return pairs // len(vocabulary), pairs % len(vocabulary)
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int = FEATURES, split: int = 1, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
+def fit(docs: DataFrame, grades: DataFrame, **options) -> SeverityModel:
+    """See ``_fit``; the tables it writes on the way go when the model is there."""
+    with disposable(docs.sparkSession):
+        return _fit(docs, grades, **options)
+
+
+def _fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int = FEATURES, split: int = 1, id_col: str = "doc_id", text_col: str = "text") -> SeverityModel:
     """Model from ``grades`` (doc_id, grade from 0 on) and the texts of their documents.
 
     The fit sees about ``sample`` labelled rows, chosen by a hash of the id: that bounds the labels sent to

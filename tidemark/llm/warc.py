@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, shuffle_partitions, work_dir
+from tidemark.session import disposable, materialise, shuffle_partitions, work_dir
 
 MAGIC = 0x184D2A5D  # fixed value: skippable frame with a dictionary in .warc.zst files
 ARCHIVE_BYTES = 16 << 20  # of payload in one archive
@@ -182,22 +182,23 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, ar
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    keyed = rows.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("_b")).where(
-        F.col("page_id").isNotNull() & (F.octet_length("_b") >= least)
-    ).select("page_id", F.sha1("_b").alias("_digest"))
-    keyed = materialise(keyed, "payloads")
-    leaders = keyed.groupBy("_digest").agg(F.max("page_id").alias("_leader"), F.min("page_id").alias("_low")).where("_leader <> _low").drop("_low")
-    leaders = materialise(leaders, "leaders")
-    revisits = keyed.join(leaders, "_digest").where("page_id <> _leader").groupBy("page_id", "_digest").agg(F.first("_leader").alias("refers_to"))
-    revisits = revisits.withColumnRenamed("page_id", "_page")
-    revisits = materialise(revisits, "revisits")
-    # rows are told apart by id and payload, since ids may repeat
-    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    joined = rows.withColumn("_d", digest).join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("_d") == F.col("_digest")), "left")
-    dealt = joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("_revisit"))
-    dealt = dealt.repartition(shuffle_partitions(pages.sparkSession), F.xxhash64("page_id", "html")).sortWithinPartitions("page_id", "url", "html")
-    _make_folder(pages.sparkSession, folder)
-    return materialise(dealt.mapInArrow(_writer(folder, archive_bytes), "archive string, records long"), "archives")
+    with disposable(pages.sparkSession) as keep:
+        keyed = rows.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("_b")).where(
+            F.col("page_id").isNotNull() & (F.octet_length("_b") >= least)
+        ).select("page_id", F.sha1("_b").alias("_digest"))
+        keyed = materialise(keyed, "payloads")
+        leaders = keyed.groupBy("_digest").agg(F.max("page_id").alias("_leader"), F.min("page_id").alias("_low")).where("_leader <> _low").drop("_low")
+        leaders = materialise(leaders, "leaders")
+        revisits = keyed.join(leaders, "_digest").where("page_id <> _leader").groupBy("page_id", "_digest").agg(F.first("_leader").alias("refers_to"))
+        revisits = revisits.withColumnRenamed("page_id", "_page")
+        revisits = materialise(revisits, "revisits")
+        # rows are told apart by id and payload, since ids may repeat
+        digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+        joined = rows.withColumn("_d", digest).join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("_d") == F.col("_digest")), "left")
+        dealt = joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("_revisit"))
+        dealt = dealt.repartition(shuffle_partitions(pages.sparkSession), F.xxhash64("page_id", "html")).sortWithinPartitions("page_id", "url", "html")
+        _make_folder(pages.sparkSession, folder)
+        return keep(materialise(dealt.mapInArrow(_writer(folder, archive_bytes), "archive string, records long"), "archives"))
 
 
 def _make_folder(spark: SparkSession, folder: str) -> None:
