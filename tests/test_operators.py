@@ -250,16 +250,16 @@ def test_event_f1(spark):
 
 
 def test_ensembles_exact(spark):
-    a, b = [0.1, 0.2, 0.8, 0.9], [0.2, 0.3, 0.7, 0.8]
+    a, b = [0.04, 0.5, 0.62], [0.16, 0.38, 0.94]
     long = spark.createDataFrame(
         [(i, m, s) for m, v in (("a", a), ("b", b)) for i, s in enumerate(v)], "row_id int, model string, score double"
     )
     got = {m: [r["score"] for r in combine(long, m).orderBy("row_id").collect()] for m in ("average", "max", "median", "other")}
-    assert np.allclose(got["average"], [0.15, 0.25, 0.75, 0.85])
-    assert np.allclose(got["max"], [0.2, 0.3, 0.8, 0.9])
+    assert np.allclose(got["average"], [0.1, 0.44, 0.78])
+    assert np.allclose(got["max"], [0.16, 0.5, 0.94])
     assert np.allclose(got["median"], got["average"]) and np.allclose(got["other"], got["average"])
     weighted = combine(long, "weighted", {"a": 3.0, "b": 1.0}).orderBy("row_id").collect()
-    assert np.isclose(weighted[0]["score"], 0.125)
+    assert np.isclose(weighted[0]["score"], 0.07)
 
 
 @pytest.mark.parametrize("window", [2, 5, 300])
