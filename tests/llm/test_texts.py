@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from tests.llm.texts import ODD, frame, near_texts, rows_of, words
+from tests.llm.texts import ODD, frame, near_texts, words
 from tidemark.llm import language_id, pii
 from tidemark.llm.language_id import held_out, identify, keep_identified, learn, predict
 from tidemark.llm.quality_bands import judge_quality

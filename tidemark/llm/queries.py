@@ -42,7 +42,37 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("op1_jaccard_join")
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM pr JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY 1) USING (doc_id)"""
+
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+l AS (SELECT h, max(page_id) AS leader FROM p WHERE strlen(h) >= 1000 GROUP BY 1)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN leader <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN leader <> page_id THEN leader END AS refers_to
+FROM p LEFT JOIN l USING (h)"""
+
+PASSAGES_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+wi AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT s, min(doc_id) AS first FROM wi GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM wi JOIN f USING (s), range(0, 13) t(j) WHERE first < doc_id),
+wo AS (SELECT doc_id, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM d),
+k AS (SELECT wo.doc_id, count(gone.i) AS n, string_agg(word, ' ' ORDER BY wo.i) FILTER (gone.i IS NULL) AS kept FROM wo LEFT JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+@query("op1_jaccard_join", JACCARD_SQL)
 def jaccard_join(spark, sf):
     return near_copies(table(spark, sf, "documents"))
 
@@ -53,7 +83,7 @@ def token_length_limits(spark, sf):
     return context_limits(length_histogram(lengths))
 
 
-@query("op3_warc_dictionary")
+@query("op3_warc_dictionary", ARCHIVE_SQL)
 def warc_dictionary(spark, sf):
     return archived(spark, table(spark, sf, "pages"))
 
@@ -79,7 +109,7 @@ def best_two_fit(spark, sf):
     return packed_digest(table(spark, sf, "documents"), tokenizer())
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", PASSAGES_SQL)
 def substring_dedup(spark, sf):
     return passage_digest(table(spark, sf, "documents"))
 
