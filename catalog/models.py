@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import (
-    HOURLY_SQL, MODELS, PARTS_SQL, SCORED_SQL, TWO_SQL, event_frame, hourly, lines, parts, query, r, table, two_models,
+    HOURLY_SQL, PARTS_SQL, SCORED_SQL, TWO_SQL, event_frame, hourly, lines, parts, query, r, table, two_models,
 )
 from catalog.series import clip_sql, seasonal_sql
 from tidemark.detectors import registry

@@ -10,7 +10,6 @@ from catalog.registry import (
 )
 from catalog.sources import SUMMARY_SQL
 from tidemark.detectors import registry
-from tidemark.frame import Frame
 from tidemark.operators.normalise import minmax
 from tidemark.operators.sampling import md5_sample
 from tidemark.plans import report, selection

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck(sf):
 
 def rows_of(pdf, cols):
     def clean(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         return float(v) if isinstance(v, (int, float)) else v
 
