@@ -139,10 +139,10 @@ def _has_letter(column: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.n
 def _judge(m: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text of a batch, piece by piece."""
     data, offsets = text_bytes(column)
-    letters = _has_letter(column, data, offsets)
     names, scores = [], [np.zeros(0)]
     for low, high in pieces(offsets):
-        best, known = _decide(m, data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low], letters[low:high])
+        part, edges = data[offsets[low]: offsets[high]], offsets[low: high + 1] - offsets[low]
+        best, known = _decide(m, part, edges, _has_letter(column.slice(low, high - low), part, edges))
         names += best.tolist()
         scores.append(known)
     return names, np.concatenate(scores)
