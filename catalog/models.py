@@ -114,6 +114,22 @@ def dbscan_noise(spark, sf):
     return found.select("row_id", (F.col("cluster") < 0).cast("int").alias("noise"))
 
 
+@query("dbscan_labels", f"""WITH RECURSIVE {DBSCAN_SQL},
+e AS (SELECT p.row_id AS i, q.row_id AS j FROM core p JOIN core q ON sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) <= 0.0237),
+reach(i, j) AS (SELECT row_id, row_id FROM core UNION SELECT e.i, r.j FROM reach r JOIN e ON e.j = r.i WHERE r.j < e.i),
+root AS (SELECT i AS row_id, min(j) AS root FROM reach GROUP BY 1),
+number AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root)),
+close AS (SELECT p.row_id, q.row_id AS nbr, row_number() OVER (PARTITION BY p.row_id ORDER BY sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)), q.row_id) AS k
+  FROM gap g JOIN x p USING (row_id) JOIN core q ON sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) <= 0.0237 WHERE g.g <= 0.0237),
+member AS (SELECT row_id, root FROM root UNION ALL SELECT c.row_id, root.root FROM close c JOIN root ON root.row_id = c.nbr WHERE k = 1)
+SELECT x.row_id, CAST(coalesce(cluster, -1) AS INTEGER) AS cluster FROM x LEFT JOIN member USING (row_id) LEFT JOIN number USING (root)""")
+def dbscan_labels(spark, sf):
+    """Cluster numbers in the order of each cluster's first core row."""
+    df = parts(spark, sf)
+    frame = Frame(df, ("p_size", "p_retailprice"), df.count())
+    return registry.create("dbscan", eps=0.0237, min_samples=5).labels(frame).select("row_id", "cluster")
+
+
 @query("dbscan_cluster_sizes")
 def dbscan_cluster_sizes(spark, sf):
     found = registry.create("dbscan", eps=0.1).labels(lines(spark, sf))
