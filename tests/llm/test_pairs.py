@@ -1,6 +1,8 @@
 """Jaccard join, passage removal and decontamination against brute force."""
 
 import hashlib
+import itertools
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 
 from tests.llm.texts import LONG, ODD, frame, lower, near_texts, rows_of, words
 from tidemark.llm import jaccard_join
-from tidemark.llm.decontaminate import MASKS, SHARE, SPAN, WINDOW, decontaminate, find_leaks
+from tidemark.llm.decontaminate import MASKS, SHARE, SPAN, WINDOW, decontaminate, find_leaks, masks_of
 from tidemark.llm.jaccard_join import keep_one, near_copies
 from tidemark.llm.substring_dedup import COVER, PERIOD, passage_digest
 
@@ -185,3 +187,44 @@ def test_leaks_in_blocks(spark, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(module, "BLOCK", 40)
     assert rows_of(find_leaks(frame(spark, docs), benchmark), "doc_id", "item_id") == [(i, i) for i in range(5)]
+
+
+def test_every_replaced_pattern_has_a_seed():
+    for size in range(1, WINDOW + 1):
+        most = max(k for k in range(size + 1) if size - k >= SHARE * size)
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in masks_of(size)]
+        for gone in itertools.combinations(range(size), most):
+            assert any(not {p + i for i in m} & set(gone) for m in masks for p in range(size - m[-1])), (size, gone)
+
+
+def exhaustive_leaks(docs, items):
+    """Every item laid over every place of every document, no seeds."""
+    out = {}
+    for i, t in docs:
+        w = words((t or "").lower())
+        for item, text in items:
+            iw = words((text or "").lower())
+            size = min(len(iw), WINDOW)
+            for start in range(-len(iw), len(w)) if iw else ():
+                equal = [0 <= start + j < len(w) and w[start + j] == x for j, x in enumerate(iw)]
+                best = max(sum(equal[a: a + size]) for a in range(len(iw) - size + 1))
+                if best >= SHARE * size:
+                    out[i, item] = max(out.get((i, item), 0), best)
+    return out
+
+
+def test_leaks_by_exhaustive_alignment(spark):
+    rng = random.Random(11)
+    items = [(n, " ".join(f"q{n}_{j}" for j in range(n))) for n in range(1, 25)]
+    docs = []
+    for n, text in items:
+        for k in range(n // 4 + 2):
+            for _ in range(4):
+                w = text.split()
+                for j in rng.sample(range(n), min(k, n)):
+                    w[j] = "new"
+                docs.append((len(docs), " ".join(rng.choice([[], ["x", "y"]]) + w[rng.choice([0, 0, 1]):] + rng.choice([[], ["z"]]))))
+    want = exhaustive_leaks(docs, items)
+    got = find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.matched) for r in got.collect()) == sorted((a, b, m) for (a, b), m in want.items())
+    assert set(range(1, 25)) == {b for _, b in want}

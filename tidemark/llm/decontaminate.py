@@ -2,7 +2,8 @@
 
 A seed looks at some of the words in its span and ignores the others, so a hit survives replaced words at
 the ignored places.  The seeds of the benchmark meet the seeds at every word of the training texts; around
-a hit the two texts are compared word by word along the same alignment.
+a hit the two texts are compared word by word along the same alignment.  The masks of every length of a
+compared window are so many that each way to replace up to a fifth of its words leaves one of them a hit.
 """
 
 from __future__ import annotations
@@ -16,9 +17,17 @@ from tidemark.session import disposable, materialise
 MASKS = ("1101011011", "1110010111")
 SPAN = len(MASKS[0])
 WINDOW = 16  # words compared at most around a hit
-BEFORE = WINDOW - SPAN  # words before a hit that such a window may begin with
+#: Further masks by the number of words compared.  With MASKS (from 10 words on) they leave no pattern of replaced
+#: words without a hit; the tests enumerate the patterns.
+_LONG, _MIDDLE = ("1110111", "11001000111"), ("1110111",)
+FURTHER = {
+    1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("111011", "11111"),
+    9: ("1111011", "1101111"), 10: ("110111", "11100011"), 11: ("110111", "11111"), 12: ("1110111", "111111"), 13: _MIDDLE, 14: _MIDDLE, 15: _LONG, 16: _LONG,
+}
+BEFORE = max(size - len(mask) for size, masks in FURTHER.items() for mask in masks)  # words before a hit that a window may begin with
 SHARE = 0.8  # of them that must be equal
 BLOCK = 1_000_000  # benchmark seeds that are sent to every task at once
+MASKS_AT_ONCE = 4  # masks of one pass; more would make generated code too large to be compiled
 
 
 def word_hashes(text: Column) -> Column:
@@ -27,15 +36,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _places(hashes: Column) -> Column:
+def masks_of(compared: int) -> tuple[str, ...]:
+    """The masks that find every window of so many words."""
+    return (MASKS if compared >= SPAN else ()) + FURTHER[compared]
+
+
+def _places(hashes: Column, span: int) -> Column:
     size = F.size(hashes)
-    return F.explode(F.when(size >= SPAN, F.sequence(F.lit(0), size - SPAN)))
+    return F.explode(F.when(size >= span, F.sequence(F.lit(0), size - span)))
+
 
+def _seed(mask: str, hashes: Column, place: Column) -> Column:
+    """NULL where the mask reaches beyond the text."""
+    words = (F.get(hashes, place + i) for i, c in enumerate(mask) if c == "1")
+    return F.when(place + len(mask) <= F.size(hashes), F.xxhash64(F.lit(mask), *words))
 
-def _seeds(hashes: Column, place: Column) -> Column:
+
+def _seeds(masks: list[str], hashes: Column, place: Column) -> Column:
     """The seed of every mask at a place; plain expressions, so that they stay inside generated code."""
-    masks = [[i for i, c in enumerate(mask) if c == "1"] for mask in MASKS]
-    return F.explode(F.array(*(F.xxhash64(F.lit(k), *(F.get(hashes, place + i) for i in mask)) for k, mask in enumerate(masks))))
+    return F.explode(F.array(*(_seed(mask, hashes, place) for mask in masks)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -47,35 +66,46 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     word of the document that the item's first word lies on, negative if the item begins before the
     document.  Of several hits the best counts, of equal ones the first.
 
-    Items with fewer than 10 words have no seed and are never found; NULL texts have no words.  Benchmark
+    Every window with so many equal words has a hit, so the result is that of laying every item over every
+    place.  Items of up to 4 words must occur word for word.  NULL texts have no words.  Benchmark
     rows that share an item_id are judged one by one and reported together, as are documents that share id
     and text; ``_tag`` is a hash of the text that tells apart others.  NULL ids are kept as they are.
 
     The training texts are not shuffled: the benchmark's seeds go to every task in blocks of at most
-    ``BLOCK``, and a larger benchmark takes more passes.
+    ``BLOCK``, and a larger benchmark takes more passes, as does one whose items have many lengths under 16.
     """
-    hashed = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_item")).where(F.size("_item") >= SPAN)
-    placed = hashed.select("item_id", "_item", _places(F.col("_item")).alias("_at"))
+    hashed = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("_item")).where(F.size("_item") > 0)
     size = F.size("_item")
     compared = F.least(size, F.lit(WINDOW))
-    placed = placed.select(
-        "item_id", "_at", _around(F.col("_item"), F.col("_at")).alias("_near"), compared.alias("compared"),
-        (F.greatest(F.lit(0), F.col("_at") + SPAN - compared) - F.col("_at") + BEFORE).alias("_low"),
-        (F.least(F.col("_at"), size - compared) - F.col("_at") + BEFORE).alias("_high"),
-        _seeds(F.col("_item"), F.col("_at")).alias("_seed"),
-    )
-    seeds = placed.distinct()
-    seeds = materialise(seeds, "seeds")
+    hashed = materialise(hashed.withColumn("compared", compared), "items")
+    lengths = sorted(r["compared"] for r in hashed.select("compared").distinct().collect()) or [WINDOW]
+    masks = sorted({mask for n in lengths for mask in masks_of(n)})
+    seeds = None
+    for number, mask in enumerate(masks):
+        span = len(mask)
+        placed = hashed.where(F.col("compared").isin([n for n in lengths if mask in masks_of(n)]))
+        placed = placed.select("item_id", "_item", "compared", _places(F.col("_item"), span).alias("_at"))
+        placed = placed.select(
+            "item_id", "_at", _around(F.col("_item"), F.col("_at")).alias("_near"), "compared",
+            (F.greatest(F.lit(0), F.col("_at") + span - F.col("compared")) - F.col("_at") + BEFORE).alias("_low"),
+            (F.least(F.col("_at"), size - F.col("compared")) - F.col("_at") + BEFORE).alias("_high"),
+            _seed(mask, F.col("_item"), F.col("_at")).alias("_seed"), F.lit(number // MASKS_AT_ONCE).alias("_pass"),
+        )
+        seeds = placed if seeds is None else seeds.unionByName(placed)
+    seeds = materialise(seeds.distinct(), "seeds")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = rows.select("doc_id", F.xxhash64("_text").alias("_tag"), word_hashes(F.col("_text")).alias("_words"))
-    rows = rows.select("doc_id", "_tag", "_words", _places(F.col("_words")).alias("_p"))
-    rows = rows.select("doc_id", "_tag", "_words", "_p", _seeds(F.col("_words"), F.col("_p")).alias("_seed"))
-    blocks = max(1, -(-seeds.count() // BLOCK))
     found = None
-    for block in range(blocks):
-        part = seeds.where(F.pmod(F.xxhash64("_seed"), F.lit(blocks)) == block) if blocks > 1 else seeds
-        hits = _verified(rows, part)
-        found = hits if found is None else found.unionByName(hits)
+    for first in range(0, len(masks), MASKS_AT_ONCE):
+        some = masks[first: first + MASKS_AT_ONCE]
+        placed = rows.select("doc_id", "_tag", "_words", _places(F.col("_words"), min(map(len, some))).alias("_p"))
+        placed = placed.select("doc_id", "_tag", "_words", "_p", _seeds(some, F.col("_words"), F.col("_p")).alias("_seed"))
+        theirs = seeds.where(F.col("_pass") == first // MASKS_AT_ONCE).drop("_pass")
+        blocks = max(1, -(-theirs.count() // BLOCK))
+        for block in range(blocks):
+            part = theirs.where(F.pmod(F.xxhash64("_seed"), F.lit(blocks)) == block) if blocks > 1 else theirs
+            hits = _verified(placed, part)
+            found = hits if found is None else found.unionByName(hits)
     best = found.groupBy("doc_id", "_tag", "item_id").agg(
         F.max(F.struct("_holds", "matched", (-F.col("start")).alias("_late"), "compared")).alias("_best")
     )
@@ -83,7 +113,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def _around(hashes: Column, place: Column) -> Column:
-    """The words from 6 before a place to 16 from it on; NULL beyond the text."""
+    """The words from ``BEFORE`` before a place to 16 from it on; NULL beyond the text."""
     return F.array(*(F.get(hashes, place + i) for i in range(-BEFORE, WINDOW)))
 
 
