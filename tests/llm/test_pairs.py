@@ -53,6 +53,19 @@ def test_components(spark, n, share):
     assert near_copies(frame(spark, rows[:0]), n, share).count() == 0
 
 
+@pytest.mark.parametrize("top", [1000, (1 << 63) - 1])
+def test_keep_one_drops_repeats_and_rows_without_id(spark, top):
+    text = " ".join(f"k{i}" for i in range(60))
+    near, other = text.replace("k59", "new"), " ".join(f"o{i}" for i in range(60))
+    rows = ODD + [(7, text), (7, text), (8, near), (None, text), (None, near), (None, other), (None, other), (None, other + " more")]
+    rows += [(5, "one text"), (5, "second"), (5, "one text"), (top, None), (top, None), (None, None), (None, None)]
+    kept = rows_of(keep_one(frame(spark, rows), 5, 80), "doc_id", "text")
+    left = {k for k in rows if k not in ((8, near), (None, text), (None, near), (None, other), (None, other + " more"))}
+    bare = [t for i, t in kept if i is None and t is not None and t.startswith("o0")]
+    assert len(bare) == 1 and bare[0] in (other, other + " more")
+    assert kept == sorted([*left, (None, bare[0])], key=repr)
+
+
 def _set(text, n):
     w = words(lower(text))
     yield {tuple(w[k: k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())

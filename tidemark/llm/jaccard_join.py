@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import found_elsewhere, unpack_places
 from tidemark.llm.words import Words, inside, pieces, ranges, row_of, text_bytes, windows
 from tidemark.operators.components import components
+from tidemark.operators.order import number_rows
 from tidemark.operators.skew import join_unique
 from tidemark.session import disposable, materialise, shuffle_partitions
 
@@ -425,9 +426,41 @@ def near_copies(docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc
 def keep_one(docs: DataFrame, n: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns: of each component only the document with the smallest id.
 
-    Rows without id stay.  Of rows with one id and equal text, one stays.
+    Of rows with one id and equal text, one stays: the one whose columns come first as JSON.  Rows without id
+    take part like the others, every distinct text as a document that comes after all with ids, so one
+    stays only if its component has no id.
     """
-    kept = near_copies(docs, n, share, id_col, text_col).where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_kept")).distinct()
-    kept = materialise(kept, "kept")
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.col(text_col)
+    key = F.md5(F.concat_ws("\u0001", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.when(text.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), text))).cast("binary"))
+    # the row travels as one struct, so that its names cannot meet those used here
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    with disposable(docs.sparkSession) as keep:
+        keys = materialise(rows.groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_n")), "keys")
+        named, total = keys.where("_id IS NOT NULL").withColumn("_bare", F.lit(False)), None
+        texts = rows.where("_id IS NOT NULL").select("_id", "_text")
+        bare = keys.where("_id IS NULL").select("_key", "_n")
+        if not bare.isEmpty():
+            low, high, total = keys.agg(F.min("_id"), F.max("_id"), F.sum("_n")).first()
+            bare, n_bare = number_rows(bare, ["_key"], pos="_id")
+            # numbers that no id has, above all or below all; which document leads is settled by _bare
+            first = 0 if high is None else high + 1 if high < (1 << 63) - 1 - n_bare else low - n_bare
+            if first < -(1 << 63):
+                raise ValueError("ids from the least to the greatest long leave no numbers for rows without id")
+            bare = materialise(bare.select("_key", (F.col("_id") + first).alias("_id"), "_n", F.lit(True).alias("_bare")), "bare")
+            texts = texts.unionByName(join_unique(rows.where("_id IS NULL").select("_key", "_text"), bare.select("_key", "_id"), "_key", total).select("_id", "_text"))
+            named = named.unionByName(bare)
+        found = near_copies(texts, n, share, "_id", "_text")
+        if total is None:
+            leaders = found.where(F.col("component_id") == F.col("_id")).select("_id").distinct()
+        else:
+            marked = found.select("_id", "component_id").distinct().join(named.select("_id", "_bare").distinct(), "_id")
+            leaders = marked.groupBy("component_id").agg(F.min(F.struct("_bare", "_id")).alias("_first")).select("_first._id")
+        leaders = materialise(leaders, "leaders")
+        kept = keep(materialise(named.join(leaders, "_id", "left_semi").select("_key", "_n"), "kept"))
+    once = rows.join(kept.where("_n = 1"), "_key", "left_semi").select("_row.*")
+    again = kept.where("_n > 1").select("_key")
+    if again.isEmpty():
+        return once
+    several = join_unique(rows.select("_key", "_row"), again, "_key", rows.count())
+    chosen = several.groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return once.unionByName(chosen.select("_row.*"))
