@@ -242,3 +242,19 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(rows) == 31 == len({r.value for r in rows}) == len({r.surrogate for r in rows})
     assert not {r.surrogate for r in rows} & {r.value for r in rows}
     assert any(r.surrogate.startswith("<") for r in rows)
+
+
+def test_colliding_names_keep_their_surname(spark, monkeypatch):
+    # 128 names of a gender at the first attempt, for 200 surnames
+    monkeypatch.setattr(pii, "VOWELS", {"latin": "ae", "cyrillic": "ае"})
+    monkeypatch.setattr(pii, "CONSONANTS", {"latin": "bd", "cyrillic": "бв"})
+    surnames = ["S" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(200)]
+    values = [v for s in surnames for v in (f"Mr. {s}", f"Mr. John {s}", f"Mr. Lee-{s}")] + ["Mrs. Saaa", "г-н Иванов"]
+    rows = pii.assign_surrogates(spark.createDataFrame([(v,) for v in values], "value string"), "key").collect()
+    new = {r.value: r.surrogate for r in rows}
+    assert len(rows) == len(values) == len(new) == len(set(new.values())) and not set(new) & set(new.values())
+    for s in surnames:
+        alone = re.fullmatch(r"Mr\. ([A-Z][a-z]+(?:on|er|us|ek))", new[f"Mr. {s}"]).group(1)
+        assert new[f"Mr. John {s}"].split() == ["Mr.", new["Mr. John Saaa"].split()[1], alone]
+        assert new[f"Mr. Lee-{s}"] == new["Mr. Lee-Saaa"].split("-")[0] + "-" + alone
+    assert re.fullmatch(r"Mrs\. [A-Z][a-z]+a", new["Mrs. Saaa"]) and re.fullmatch("г-н [А-Я][а-я]+", new["г-н Иванов"])

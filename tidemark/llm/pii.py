@@ -1,17 +1,21 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities are found by patterns.  Every distinct entity gets one surrogate, made from a keyed hash of the
-entity: of the same type, length and script, digit for digit and letter for letter, names with the ending
-of their gender.  Surrogates are checked against each other and against all entities found, so distinct
+entity: of the same type, length and script, digit for digit and letter for letter, names (each by itself,
+so that a surname is the same with and without a first name) with the ending of their gender.  Surrogates are checked against each other and against all entities found, so distinct
 entities stay distinct, the same entity gets the same surrogate everywhere, and no surrogate is somebody
 else's datum.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import join_unique
 from tidemark.session import disposable, materialise
 
 # ------------------------------------------------------------------ patterns (fixed values, Java syntax)
@@ -135,74 +139,102 @@ def _ip(stream: Column) -> Column:
     return F.concat_ws(".", first.cast("string"), *((_byte(stream, i) % 254 + 1).cast("string") for i in (1, 2, 3)))
 
 
-def _name(key: str, value: Column, attempt: int) -> Column:
-    """Title kept; each name by its own keyed hash, so that a surname is the same with and without a first name."""
-    title = F.regexp_extract(value, rf"^(?:{FEMALE}|{MALE}) ", 0)
-    female = title.rlike(rf"^(?:{FEMALE}) $")
+def _title(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^(?:{FEMALE}|{MALE}) ", 0)
 
-    def one(name: Column) -> Column:
-        stream = _stream(key, F.concat_ws(" ", F.when(female, "f").otherwise("m"), name), attempt, F.lit(1))
-        made = {}
-        for script, (male_ends, female_ends) in ENDINGS.items():
-            body = F.concat(*(_pick((CONSONANTS if i % 2 == 0 else VOWELS)[script], _byte(stream, i)) for i in range(4)), _pick(CONSONANTS[script], _byte(stream, 4)))
 
-            def end(ends):
-                return F.element_at(F.array(*map(F.lit, ends)), _byte(stream, 5) % len(ends) + 1)
+def _parts(value: Column) -> Column:
+    """(gender and name, which is what a surrogate belongs to, and name) of each name after the title."""
+    title = _title(value)
+    gender = F.when(title.rlike(rf"^(?:{FEMALE}) $"), "f").otherwise("m")
+    names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), "[ -]")
+    return F.transform(names, lambda name: F.struct(F.concat_ws(" ", gender, name).alias("value"), name.alias("name")))
 
-            whole = F.concat(body, F.when(female, end(female_ends)).otherwise(end(male_ends)))
-            made[script] = F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, 2, 60))
-        return F.when(name.rlike("^[А-ЯЁ]"), made["cyrillic"]).otherwise(made["latin"])
 
-    rest = F.substring(value, F.length(title) + 1, F.length(value))
-    hyphen = F.contains(rest, F.lit("-"))
-    names = F.transform(F.split(rest, "[ -]"), one)
-    return F.concat(title, F.when(hyphen, F.array_join(names, "-")).otherwise(F.array_join(names, " ")))
+def _name_part(key: str, value: Column, attempt: int) -> Column:
+    """A name of the script and gender; every attempt has a syllable more than the one before."""
+    letters = 2 * (2 + attempt)
+    stream = _stream(key, value, attempt, F.lit(letters))
+    made = {}
+    for script, ends in ENDINGS.items():
+        body = F.concat(*(_pick((CONSONANTS if i % 2 == 0 else VOWELS)[script], _byte(stream, i)) for i in range(letters + 1)))
+        male, female = (F.element_at(F.array(*map(F.lit, e)), _byte(stream, letters + 1) % len(e) + 1) for e in ends)
+        whole = F.concat(body, F.when(value.startswith("f "), female).otherwise(male))
+        made[script] = F.concat(F.upper(F.substring(whole, 1, 1)), F.substring(whole, F.lit(2), F.length(whole)))
+    return F.when(value.rlike("^. [А-ЯЁ]"), made["cyrillic"]).otherwise(made["latin"])
 
 
 def surrogate(key: str, value: Column, kind: Column, attempt: int) -> Column:
+    """Of all kinds but names."""
     stream = _stream(key, F.concat_ws("\u0001", kind, value), attempt, F.length(value))
     # the top-level domain, a country code and the fixed head of a key stay
     domain_end = F.length(value) - F.length(F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0))
     email = F.concat(_masked(F.substring(value, F.lit(1), domain_end), stream, 0), F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0))
     return (
         F.when(kind == "email", email).when(kind == "ip", _ip(stream)).when(kind == "card", _card(value, stream))
-        .when(kind == "hex", _masked(value, stream, 0, "abcdef")).when(kind == "name", _name(key, value, attempt))
+        .when(kind == "hex", _masked(value, stream, 0, "abcdef"))
         .when(kind == "phone", _masked(value, stream, F.length(F.regexp_extract(value, r"^\+\d{1,3}", 0))))
         .when(kind == "access_key", _masked(value, stream, 4)).when(kind == "iban", _masked(value, stream, 2))
         .otherwise(_masked(value, stream, 0))
     )
 
 
-def assign_surrogates(values: DataFrame, key: str) -> DataFrame:
-    """(value) to (value, kind, surrogate), one row per distinct value.
+def _distinct(pending: DataFrame, taken: DataFrame, attempts: Iterable[Column]) -> DataFrame:
+    """``pending`` (one row per value) with surrogates that are neither taken nor given twice.
 
-    A surrogate that equals an entity found anywhere, or one given already, is made anew with another
-    attempt number; of entities that meet in one surrogate the smallest keeps it.  After ``TRIES`` attempts
-    (a form with too few values) the surrogate is the type and a hash in angle brackets.
+    Each attempt serves the values whose surrogate is free, of those that meet the smallest; the last serves
+    what it can.
     """
-    pending = materialise(values.distinct().withColumn("kind", entity_type(F.col("value"))), "entities")
-    taken = pending.select(F.col("value").alias("_taken"))
-    done = None
-    for attempt in range(TRIES + 1):
-        last = attempt == TRIES
-        made = (
-            F.concat(F.lit("<"), "kind", F.lit("-"), F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "value").cast("binary"), 256), F.lit(">"))
-            if last else surrogate(key, F.col("value"), F.col("kind"), attempt)
-        )
+    columns, done = pending.columns, None
+    for made in attempts:
         tried = materialise(pending.withColumn("surrogate", made), "tried")
         first = tried.groupBy("surrogate").agg(F.min("value").alias("_first"))
         free = materialise(first.join(taken, F.col("surrogate") == F.col("_taken"), "left_anti"), "free")
         good = tried.join(free.select(F.col("_first").alias("value")), "value", "left_semi")
-        good = materialise(good.select("value", "kind", "surrogate"), "given")
+        good = materialise(good.select(*columns, "surrogate"), "given")
         done = good if done is None else done.unionByName(good)
-        pending = tried.join(good.select("value"), "value", "left_anti").select("value", "kind")
-        if last or pending.isEmpty():
+        pending = tried.join(good.select("value"), "value", "left_anti").select(*columns)
+        if pending.isEmpty():
             return done
         pending = materialise(pending, "pending")
         taken = taken.unionByName(good.select(F.col("surrogate").alias("_taken")))
     return done
 
 
+def _assign_names(names: DataFrame, key: str) -> DataFrame:
+    """(value, kind) of names to (value, kind, surrogate): titles and separators kept, each name by its own surrogate.
+
+    A name has one surrogate for each gender, whatever stands beside it, and no surrogate is a name that was
+    found.  So whole names stay distinct as well.
+    """
+    parts = materialise(names.select("value", "kind", F.posexplode(_parts(F.col("value"))).alias("_at", "_part")), "name-parts")
+    distinct = materialise(parts.select("_part.value").distinct(), "distinct-names")
+    taken = parts.select(F.col("_part.name").alias("_taken")).distinct()
+    given = _distinct(distinct, taken, (_name_part(key, F.col("value"), attempt) for attempt in itertools.count()))
+    named = join_unique(parts.select(F.col("_part.value").alias("_name"), "value", "kind", "_at"), given.select(F.col("value").alias("_name"), "surrogate"), "_name", parts.count())
+    whole = named.groupBy("value", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))), lambda p: p["surrogate"]).alias("_new"))
+    title = _title(F.col("value"))
+    hyphen = F.contains(F.substring("value", F.length(title) + 1, F.length("value")), F.lit("-"))
+    joined = F.when(hyphen, F.array_join("_new", "-")).otherwise(F.array_join("_new", " "))
+    return whole.select("value", "kind", F.concat(title, joined).alias("surrogate"))
+
+
+def assign_surrogates(values: DataFrame, key: str) -> DataFrame:
+    """(value) to (value, kind, surrogate), one row per distinct value.
+
+    A surrogate that equals an entity found anywhere, or one given already, is made anew with another
+    attempt number; of entities that meet in one surrogate the smallest keeps it.  After ``TRIES`` attempts
+    (a form with too few values) the surrogate is the type and a hash in angle brackets.  Names are settled
+    one by one, not as they stand together, and never run out, for they grow with the attempts.
+    """
+    found = materialise(values.distinct().withColumn("kind", entity_type(F.col("value"))), "entities")
+    bracketed = F.concat(F.lit("<"), "kind", F.lit("-"), F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "value").cast("binary"), 256), F.lit(">"))
+    attempts = itertools.chain((surrogate(key, F.col("value"), F.col("kind"), attempt) for attempt in range(TRIES)), [bracketed])
+    done = _distinct(found.where("kind <> 'name'"), found.select(F.col("value").alias("_taken")), attempts)
+    names = found.where("kind = 'name'")
+    return done if names.isEmpty() else done.unionByName(_assign_names(names, key))
+
+
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with surrogates in the text, and ``n_entities``.
 
