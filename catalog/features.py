@@ -57,32 +57,50 @@ def rolling_and_lag(spark, sf):
     return df.select("row_id", *[r(c, 6 if c.endswith("mean") else 4).alias(c) for c in df.columns if "_rolling_" in c or "_lag_" in c])
 
 
-PAIRS = list(itertools.combinations(
-    ["value", "k", "value_rolling_mean", "value_rolling_std", "value_lag_1"], 2))
+ROLLED = [f"{c}_{kind}" for c in ("value", "k") for kind in ("rolling_mean", "rolling_std", "lag_1", "lag_2", "lag_3")]
+CALENDAR = ["hour_of_day", "day_of_week", "is_weekend", "month", "hour_sin", "hour_cos", "day_sin", "day_cos"]
+ENGINEERED = ["value", "k", *ROLLED, *CALENDAR]
+FIRST_FIVE = ENGINEERED[:5]
 
 
 def digits(*names):
-    """Products of decimals are compared in full, those with a deviation to 4 digits."""
-    return 4 if any("std" in c for c in names) else 7
+    """Products of decimals are compared in full, those with a deviation or a sine to 4 digits."""
+    return 4 if any(part in c for c in names for part in ("std", "sin", "cos")) else 7
 
 
-@query("engineered_features", f"""
+def _engineered_sql(columns):
+    e = f"""
 WITH {SCORED_SQL}, e AS (
-  SELECT event_id, value, k,
-    avg(value) OVER w AS value_rolling_mean, coalesce(stddev_samp(value) OVER w, 0) AS value_rolling_std,
-    coalesce(lag(value, 1) OVER (ORDER BY row_id), 0) AS value_lag_1,
-    coalesce(lag(k, 3) OVER (ORDER BY row_id), 0) AS k_lag_3,
-    CAST(month(ts) AS INTEGER) AS month
-  FROM ev WINDOW w AS (ORDER BY row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-SELECT event_id, month, round(k_lag_3, 4) AS k_lag_3,
-  {', '.join(f'round({a} * {b}, {digits(a, b)}) AS {a}_x_{b}' for a, b in PAIRS)} FROM e""")
-def engineered_features(spark, sf):
+  SELECT event_id, value, k, {', '.join(
+      f"avg({c}) OVER w AS {c}_rolling_mean, coalesce(stddev_samp({c}) OVER w, 0) AS {c}_rolling_std, "
+      + ', '.join(f"coalesce(lag({c}, {j}) OVER (ORDER BY row_id), 0) AS {c}_lag_{j}" for j in (1, 2, 3)) for c in ("value", "k"))},
+    CAST(hour(ts) AS INTEGER) AS hour_of_day, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
+    CAST(isodow(ts) >= 6 AS BIGINT) AS is_weekend, CAST(month(ts) AS INTEGER) AS month,
+    sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos,
+    sin(2 * pi() * (isodow(ts) - 1) / 7) AS day_sin, cos(2 * pi() * (isodow(ts) - 1) / 7) AS day_cos
+  FROM ev WINDOW w AS (ORDER BY row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
+    shown = [f"round({c}, {digits(c)}) + 0.0 AS {c}" for c in ENGINEERED]
+    shown += [f"round({a} * {b}, {digits(a, b)}) + 0.0 AS {a}_x_{b}" for a, b in itertools.combinations(columns, 2)]
+    return f"{e} SELECT event_id, {', '.join(shown)} FROM e"
+
+
+def _engineered(spark, sf, columns=None):
     placed = Frame.of(events(spark, sf), ("value", "k"), ("ts", "event_id"), "ts")
     ids = Frame.of(events(spark, sf), ("event_id",), ("ts", "event_id")).df
-    df, names = features.engineer(placed.df, placed.features, placed.n, "ts", interactions=True)
-    return df.join(ids, "row_id").select(
-        "event_id", "month", r("k_lag_3", 4).alias("k_lag_3"), *[r(c, digits(c)).alias(c) for c in names if "_x_" in c]
-    )
+    df, names = features.engineer(placed.df, placed.features, placed.n, "ts", interactions=True, interaction_columns=columns)
+    return df.join(ids, "row_id").select("event_id", *[(r(c, digits(c)) + 0.0).alias(c) for c in names])
+
+
+@query("engineered_features", _engineered_sql(ENGINEERED))
+def engineered_features(spark, sf):
+    """All engineered columns and the products of all of them."""
+    return _engineered(spark, sf)
+
+
+@query("engineered_features_named", _engineered_sql(FIRST_FIVE))
+def engineered_features_named(spark, sf):
+    """All engineered columns and the products of the first five."""
+    return _engineered(spark, sf, FIRST_FIVE)
 
 
 @query("univariate_mean", f"""WITH {LINES_SQL}

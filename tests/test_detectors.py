@@ -1,10 +1,16 @@
 """Detector properties: one score in [0, 1] per row, and outliers stand out."""
 
+import importlib
+import inspect
+import pkgutil
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+import tidemark
 from tidemark.detectors import nets, registry
 from tidemark.detectors.base import Detector
 from tidemark.frame import Frame
@@ -195,3 +201,32 @@ def test_custom_detector(spark):
         registry.create("range")
     with pytest.raises(ValueError):
         registry.create("pca", depth=3)
+
+
+def test_everything_travels_to_tasks():
+    """Classes and functions of the package are sent by value, so nothing they name may refuse to be pickled."""
+    for module in pkgutil.walk_packages(tidemark.__path__, "tidemark."):
+        loaded = importlib.import_module(module.name)
+        for thing in vars(loaded).values():
+            if getattr(thing, "__module__", None) == module.name and (inspect.isclass(thing) or inspect.isfunction(thing)):
+                cloudpickle.dumps(thing)
+
+
+def test_user_detector_computes_in_tasks(spark, tmp_path):
+    """A detector defined in a script, whose function for tasks holds on to the detector itself."""
+    script = tmp_path / "own.py"
+    script.write_text(
+        "import pandas as pd\nfrom pyspark.sql import functions as F\nfrom tidemark.detectors.base import Detector\n"
+        "class Mine(Detector):\n    name, defaults = 'mine', {'centre': 1.0}\n    def raw_scores(self, frame):\n"
+        "        @F.pandas_udf('double')\n        def away(x: pd.Series) -> pd.Series:\n            return (x - self.options['centre']).abs()\n"
+        "        return frame.df.select('row_id', away(F.col('x')).alias('raw'))\n"
+    )
+    space = {"__name__": "__main__"}
+    exec(compile(script.read_text(), str(script), "exec"), space)
+    frame = Frame(spark.createDataFrame([(i, float(i)) for i in range(9)], "row_id long, x double"), ("x",), 9)
+    registry.register_detector("mine", "statistical", registry.Requirements(1), space["Mine"])
+    try:
+        got = {row["row_id"]: row["score"] for row in registry.create("mine", centre=0.0).fit_predict(frame).collect()}
+    finally:
+        registry.unregister_detector("mine")
+    assert got == {i: i / 8 for i in range(9)}

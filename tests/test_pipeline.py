@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.detectors import registry
 from tidemark.frame import Frame
 from tidemark.operators import evaluate
-from tidemark.operators.features import rolling_features
+from tidemark.operators.features import interaction_features, rolling_features
 from tidemark.operators.order import number_rows
 from tidemark.plans import pipeline, selection
 from tidemark.sources import readers
@@ -75,7 +75,14 @@ def test_unknown_names_raise(spark, host):
 def test_prepare_shapes(spark, host):
     df = spark.createDataFrame(host.drop(columns="truth"))
     p = pipeline.prepare(df, add_interaction_features=True)
-    assert len(p.frame.features) == 3 + 3 * 5 + 8 + 10
+    engineered = 3 + 3 * 5 + 8
+    assert len(p.frame.features) == engineered + engineered * (engineered - 1) // 2
+    named = pipeline.prepare(df, add_interaction_features=True, interaction_columns=["cpu_usage", "memory_usage", "cpu_usage_lag_1"])
+    assert named.frame.features[engineered:] == ("cpu_usage_x_memory_usage", "cpu_usage_x_cpu_usage_lag_1", "memory_usage_x_cpu_usage_lag_1")
+    with pytest.raises(ValueError):
+        pipeline.prepare(df, add_interaction_features=True, interaction_columns=["no_such"])
+    with pytest.raises(ValueError):
+        interaction_features(df, [f"c{i}" for i in range(200)])
     stats = p.frame.df.agg(*[F.avg(c).alias(c) for c in p.frame.features]).first()
     assert max(abs(v) for v in stats) < 1e-9
     reduced = pipeline.prepare(df, apply_pca=True)

@@ -15,6 +15,7 @@ from tidemark.operators.order import over_blocks
 # fixed values: parts of a column name that mark it as an identifier
 ID_WORDS = ("id", "index")
 LAGS = (1, 2, 3)
+MAX_PRODUCTS = 5_000  # columns; a wider table is refused, not cut
 _ROLLING_TYPES = (T.DoubleType, T.FloatType, T.LongType)
 
 
@@ -61,8 +62,13 @@ def calendar_features(df: DataFrame, ts: str) -> DataFrame:
 
 
 def interaction_features(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Pairwise products of the columns; name fewer columns for fewer products."""
+    """Pairwise products of the columns; name fewer columns for fewer products.
+
+    d columns give d * (d - 1) / 2 products; more than ``MAX_PRODUCTS`` raise.
+    """
     pairs = list(itertools.combinations(cols, 2))
+    if len(pairs) > MAX_PRODUCTS:
+        raise ValueError(f"{len(cols)} columns give {len(pairs)} products, more than {MAX_PRODUCTS}: name the columns to multiply")
     out = {f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in pairs}
     return df.withColumns(out), list(out)
 
@@ -77,11 +83,13 @@ def engineer(
     statistical: bool = True,
     interactions: bool = False,
     series: Sequence[str] = (),
+    interaction_columns: Sequence[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """All engineered features; returns the table and its feature names in order.
 
     ``rolling_types`` are the column types before imputation: only double, float
-    and bigint columns get rolling and lag features.
+    and bigint columns get rolling and lag features.  Products are of all features,
+    or of those named in ``interaction_columns``.
     """
     types = rolling_types or {f.name: f.dataType for f in df.schema}
     names = list(cols)
@@ -95,6 +103,9 @@ def engineer(
         df = calendar_features(df, ts)
         names += [c for c in scalars.calendar(F.col(ts)) if c not in names]
     if interactions:
-        df, added = interaction_features(df, names)
+        unknown = [c for c in interaction_columns or () if c not in names]
+        if unknown:
+            raise ValueError(f"no features to multiply: {unknown}")
+        df, added = interaction_features(df, interaction_columns or names)
         names += added
     return df, names

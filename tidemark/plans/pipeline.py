@@ -30,6 +30,7 @@ PREPROCESSING = {
     "feature_engineering": True,
     "add_statistical_features": True,
     "add_interaction_features": False,
+    "interaction_columns": None,
     "rolling_window": 10,
     "apply_pca": False,
     "pca_components": 0.95,
@@ -89,6 +90,7 @@ def prepare(
         rows, names = engineer(
             rows, cols, n, "_ts" if "_ts" in carried else None, types,
             o["rolling_window"], o["add_statistical_features"], o["add_interaction_features"],
+            interaction_columns=o["interaction_columns"],
         )
     # statistics and values read the same written table
     rows = scale(materialise(rows.select("row_id", *carried, *names), "features"), names, o["scaling_method"])

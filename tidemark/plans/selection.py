@@ -244,20 +244,21 @@ def orthus(meta: dict[str, float], available: list[str]) -> list[str]:
 
 
 def fmms_table(frame: Frame, available: list[str]) -> DataFrame:
-    """Variance times range of each candidate's scores; failures are left out."""
+    """model, quality, error: variance times range of each candidate's scores, or why it could not run."""
     rows = []
     for name in available:
         try:
             scores = registry.create(name).fit_predict(frame)
             v, span = scores.agg(F.var_pop("score"), F.max("score") - F.min("score")).first()
-            rows.append((name, float(v) * float(span)))
-        except Exception:  # noqa: BLE001 - a candidate that cannot run is no candidate
-            continue
-    return frame.df.sparkSession.createDataFrame(rows, "model string, quality double")
+            rows.append((name, float(v) * float(span), None))
+        except Exception as e:  # noqa: BLE001 - stated in the table; the other candidates still run
+            rows.append((name, None, f"{type(e).__name__}: {e}"))
+    return frame.df.sparkSession.createDataFrame(rows, "model string, quality double, error string")
 
 
 def fmms(frame: Frame, available: list[str]) -> list[str]:
-    found = {r["model"]: r["quality"] for r in fmms_table(frame, available).collect()}
+    table = fmms_table(frame, available)
+    found = {r["model"]: r["quality"] for r in table.where("error is null").collect()}  # at most a row per model
     return sorted(found, key=lambda m: (-found[m], available.index(m)))[:FMMS_KEPT]
 
 

@@ -13,7 +13,23 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
-_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables made", default=None)
+
+
+class _Made:
+    """Paths of the tables written in the innermost ``disposable`` block.
+
+    Functions sent to tasks take the globals they name along; a context variable cannot travel, and tasks
+    need no list, so there this arrives empty.
+    """
+
+    def __init__(self):
+        self.now: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables made", default=None)
+
+    def __reduce__(self):
+        return _Made, ()
+
+
+_MADE = _Made()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -47,7 +63,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    made = _MADE.get()
+    made = _MADE.now.get()
     if made is not None:
         made.append(path)
     return out
@@ -69,7 +85,7 @@ def disposable(spark: SparkSession) -> Iterator:
 
     What leaves the block must read kept tables only.  After a failure the tables stay, for a look at them.
     """
-    outer, made = _MADE.get(), []
+    outer, made = _MADE.now.get(), []
 
     def keep(df: DataFrame) -> DataFrame:
         made.remove(df.written_to)
@@ -77,11 +93,11 @@ def disposable(spark: SparkSession) -> Iterator:
             outer.append(df.written_to)
         return df
 
-    token = _MADE.set(made)
+    token = _MADE.now.set(made)
     try:
         yield keep
     finally:
-        _MADE.reset(token)
+        _MADE.now.reset(token)
     for path in made:
         _delete(spark, path)
 
