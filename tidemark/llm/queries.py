@@ -12,6 +12,7 @@ from tidemark.llm.language_id import identify
 from tidemark.llm.packing import packed_digest
 from tidemark.llm.pii import replace_personal_data
 from tidemark.llm.quality_bands import judge_quality
+from tidemark.llm.rank_tree import coded_digest
 from tidemark.llm.substring_dedup import passage_digest
 from tidemark.llm.token_lengths import context_limits, length_histogram, token_lengths
 from tidemark.llm.toxicity import fit, rate, toxic_grades
@@ -21,11 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     """Vocabulary file of the public tokenizer that the token queries take."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def query(name: str, sql: str | None = None):
@@ -127,3 +128,8 @@ def surrogates(spark, sf):
 @query("op10_spaced_seeds", LEAKS_SQL)
 def spaced_seeds(spark, sf):
     return benchmark_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op11_rank_tree")
+def rank_tree(spark, sf):
+    return coded_digest(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
