@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.conversations import damage, repair_digest
 from tidemark.llm.decontaminate import LEAKS_SQL, benchmark_leaks
 from tidemark.llm.jaccard_join import near_copies
 from tidemark.llm.language_id import identify
@@ -133,3 +134,9 @@ def spaced_seeds(spark, sf):
 @query("op11_rank_tree")
 def rank_tree(spark, sf):
     return coded_digest(table(spark, sf, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op12_edit_lattice")
+def edit_lattice(spark, sf):
+    conversations = table(spark, sf, "conversations")
+    return repair_digest(damage(conversations), conversations)
