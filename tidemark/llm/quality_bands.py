@@ -13,9 +13,8 @@ from tidemark.llm.words import Words, inside, pieces, row_of, text_bytes, window
 #: (bytes from, least ratio, most ratio) of compressed to raw size at level 3.  Short texts carry the
 #: frame's fixed cost and little context, so their band is wide; long prose settles near 0.3 to 0.5.
 BANDS = ((0, 0.25, 1.50), (256, 0.30, 0.90), (1024, 0.22, 0.80), (8192, 0.18, 0.75))
-CHUNK = 4096
-CHUNK_BAND = (0.22, 0.80)
-BAD_CHUNKS = 0.2  # more than this share of the whole chunks outside their band rejects the text
+CHUNK = 1024  # bytes; what is left behind the last whole chunk is a chunk with the band of its own length
+BAD_CHUNKS = 0.2  # more than this share of the bytes in chunks outside their band rejects the text
 MIN_WORDS, MAX_REPEAT = 20, 30
 WINDOW = 8
 
@@ -70,18 +69,15 @@ def _band(size: int) -> tuple[float, float]:
 
 
 def _verdict(raw: memoryview, press: zstandard.ZstdCompressor) -> tuple[float | None, float | None, bool]:
-    """(ratio, share of chunks out of band, inside the bands)."""
-    if not len(raw):
+    """(ratio, share of bytes in chunks out of band, inside the bands)."""
+    size = len(raw)
+    if not size:
         return None, None, False
-    ratio = len(press.compress(raw)) / len(raw)
-    low, high = _band(len(raw))
-    fine = low <= ratio <= high
-    whole = len(raw) // CHUNK
-    if not whole:
-        return ratio, None, fine
-    low, high = CHUNK_BAND
-    bad = sum(not low <= len(press.compress(raw[k * CHUNK: (k + 1) * CHUNK])) / CHUNK <= high for k in range(whole)) / whole
-    return ratio, bad, fine and bad <= BAD_CHUNKS
+    fits = lambda ratio, n: (band := _band(n))[0] <= ratio <= band[1]
+    ratio = len(press.compress(raw)) / size
+    parts = [raw[k: k + CHUNK] for k in range(0, size, CHUNK)]
+    bad = sum(len(p) for p in parts if not fits(len(press.compress(p)) / len(p), len(p))) / size
+    return ratio, bad, fits(ratio, size) and bad <= BAD_CHUNKS
 
 
 def _judge(batches):
@@ -118,10 +114,10 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Counts and verdict, one row per input row, in one scan without a shuffle.
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in 8-word windows that the text holds
-    twice or more.  ``ratio`` is compressed to raw size of the UTF-8 text, ``bad_chunks`` the share of whole
-    4096-byte chunks outside ``CHUNK_BAND`` (NULL if there is none).  ``kept`` needs the base rules, the
-    ratio inside the band of the text's length, and at most a fifth of the chunks out of band: repetitive
-    text lies below the bands, encoded or random text above.
+    twice or more.  ``ratio`` is compressed to raw size of the UTF-8 text, ``bad_chunks`` the share of its bytes
+    that lie in chunks of ``CHUNK`` bytes (the last one shorter) outside the band of the chunk's length.  ``kept``
+    needs the base rules, the ratio inside the band of the text's length, and at most a fifth of the bytes in
+    chunks out of band: repetitive text lies below the bands, encoded or random text above.
 
     NULL and empty text count as no words, fail the base rules and have NULL ratios.  NULL or repeated ids
     are passed through; other columns are ignored.
