@@ -22,13 +22,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 ROWS = near_texts(8, 60) + ODD + [
     (1000, "don't stop  two  spaces\n\nx \ttab"), (1001, "日本語 text ½ ² a1b2"), (1002, "<|endoftext|> É'é naïve"), (1003, "\nx\n y "),
     (1004, " lead"), (1005, "x" * 5000), (1006, "нет Ωmega ʼn ͸ z"),
+    (1007, "a <|endoftext|> b"), (1008, "<|endoftext|><|endoftext|>"), (1009, "x  <|endoftext|>\n\n y<|endoftext"), (1010, "|>日本 <|endoftext|>  日本"), (1011, "<|endoftext|"), (1012, "|>"),
 ]
 
 
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [(i, e.ids) for (i, _), e in zip(ROWS, tokenizer.encode_batch([t or "" for _, t in ROWS], add_special_tokens=False))]
 
 

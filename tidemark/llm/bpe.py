@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -49,24 +50,29 @@ def _letters_of_bytes() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoding(path: str) -> tiktoken.Encoding:
+def _encoding(path: str) -> tuple[tiktoken.Encoding, dict[bytes, int]]:
+    """The encoding, and the added tokens with their ids."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
+    added = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
+        raise ValueError("added tokens that look at their neighbours are not supported")
     special = {t["content"] for t in spec.get("added_tokens", [])}
     letters = _letters_of_bytes()
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), added
 
 
 class BatchEncoder:
-    """Ids of documents.  Special-token strings in a text are ordinary text.
+    """Ids of documents.  The strings of added tokens in a text are those tokens, and texts are cut at them.
 
     Pre-tokens met before are found in a direct-mapped table by their hash; only new ones are encoded, all
     of a piece in one call.  The table and the pool of ids are bounded.
     """
 
     def __init__(self, path: str):
-        self.encoding = _encoding(path)
+        self.encoding, self.added = _encoding(path)
+        self.find_added = re.compile(b"|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.newline = self.encoding.encode_ordinary("\n")[0]
         self._clear()
 
@@ -105,11 +111,24 @@ class BatchEncoder:
             start &= ~np.repeat(whole, np.diff(edges)) | first
         return np.flatnonzero(start)
 
+    def _begins(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where pre-tokens and added tokens begin; what lies between added tokens is cut like a document of its own."""
+        raw = data.tobytes()
+        if self.find_added is None or not any(a in raw for a in self.added):
+            return self._units(data, edges)
+        # a match may not reach over the end of a document
+        spans = [(int(a) + m.start(), int(a) + m.end()) for a, b in zip(edges[:-1], edges[1:]) for m in self.find_added.finditer(raw[a:b])]
+        low, high = (np.array(x, np.int64) for x in zip(*spans)) if spans else (np.zeros(0, np.int64),) * 2
+        begin = self._units(data, np.unique(np.concatenate([edges, low, high])))
+        at = np.searchsorted(low, begin, "right") - 1
+        inner = (at >= 0) & (begin > low[at]) & (begin < high[at]) if len(low) else np.zeros(len(begin), bool)
+        return begin[~inner]
+
     def _learn(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Put the ids of these units into the pool: (place, length) of each."""
         texts = [raw[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]
         # a line break between two units is a pre-token of its own and does not change theirs
-        simple = np.array([t != " " and "\n" not in t for t in texts], bool) & (end - begin < 200)
+        simple = np.array([t != " " and "\n" not in t and t.encode() not in self.added for t in texts], bool) & (end - begin < 200)
         ids = np.array(self.encoding.encode_ordinary("\n".join([t for t, plain in zip(texts, simple) if plain])), np.uint32)
         edges = np.concatenate([[-1], np.flatnonzero(ids == self.newline), [len(ids)]])
         at, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -119,7 +138,8 @@ class BatchEncoder:
             at[simple], size[simple] = edges[:-1] + 1, np.diff(edges) - 1
         found, filled = [ids], len(ids)
         for i in np.flatnonzero(~simple):
-            found.append(np.array(self.encoding.encode_ordinary(texts[i]), np.uint32))
+            whole = self.added.get(texts[i].encode())
+            found.append(np.array(self.encoding.encode_ordinary(texts[i]) if whole is None else [whole], np.uint32))
             at[i], size[i] = filled, len(found[-1])
             filled += len(found[-1])
         at += self.used
@@ -136,7 +156,7 @@ class BatchEncoder:
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         if self.used > POOL:
             self._clear()
-        begin = self._units(data, edges)
+        begin = self._begins(data, edges)
         end = np.append(begin[1:], len(data))
         up, down = _powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
