@@ -161,20 +161,28 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
-_SEEDS = " UNION ALL ".join(
-    f"SELECT id, p, n, {k} AS k, concat_ws(' ', {', '.join(f'w[p + {i + 1}]' for i, c in enumerate(mask) if c == '1')}) AS seed FROM PLACES"
-    for k, mask in enumerate(MASKS)
-)
+_MASKS = sorted({mask for n in range(1, WINDOW + 1) for mask in masks_of(n)})
+_SEED = "concat_ws(' ', {words}) AS seed FROM (SELECT id, w, len(w) AS n, unnest(range(0, len(w) - {less})) AS p FROM {table} WHERE len(w) > {less}{only})"
+
+
+def _seeds_sql(table: str) -> str:
+    """Seeds of every mask; of an item only by the masks for its number of compared words."""
+    parts = []
+    for k, mask in enumerate(_MASKS):
+        only = f" AND least(len(w), {WINDOW}) IN ({', '.join(str(n) for n in range(1, WINDOW + 1) if mask in masks_of(n))})" if table == "b" else ""
+        words = ", ".join(f"w[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")
+        parts.append(f"SELECT id, p, n, {k} AS k, {len(mask)} AS span, " + _SEED.format(words=words, less=len(mask) - 1, table=table, only=only))
+    return " UNION ALL ".join(parts)
+
+
 LEAKS_SQL = f"""
 WITH d AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id AS id, {_WORDS} AS w FROM benchmark),
-dp AS (SELECT id, w, len(w) AS n, unnest(range(0, len(w) - {SPAN - 1})) AS p FROM d WHERE len(w) >= {SPAN}),
-bp AS (SELECT id, w, len(w) AS n, unnest(range(0, len(w) - {SPAN - 1})) AS p FROM b WHERE len(w) >= {SPAN}),
-ds AS ({_SEEDS.replace('PLACES', 'dp')}),
-bs AS ({_SEEDS.replace('PLACES', 'bp')}),
-hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS start, bs.p AS q, bs.n AS size, least(bs.n, {WINDOW}) AS compared
+ds AS ({_seeds_sql("d")}),
+bs AS ({_seeds_sql("b")}),
+hits AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p - bs.p AS start, bs.p AS q, bs.span, bs.n AS size, least(bs.n, {WINDOW}) AS compared
          FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
-laid AS (SELECT *, unnest(range(greatest(0, q + {SPAN} - compared), least(q, size - compared) + 1)) AS a FROM hits),
+laid AS (SELECT *, unnest(range(greatest(0, q + span - compared), least(q, size - compared) + 1)) AS a FROM hits),
 held AS (SELECT doc_id, item_id, compared, list_sum(list_transform(range(a, a + compared),
            lambda i: CASE WHEN start + i >= 0 AND d.w[start + i + 1] = b.w[i + 1] THEN 1 ELSE 0 END)) AS matched
          FROM laid JOIN d ON d.id = doc_id JOIN b ON b.id = item_id)

@@ -158,7 +158,9 @@ def _deal(found: list, shards: int) -> Iterator[pa.RecordBatch]:
         return
     docs, ids, tags, places = _join(found, (0, 1, 3))
     rows: dict[str, list] = {c: [] for c in _PACKED.names}
-    shard = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
+    # rows without id share one id, so the tag counts as well
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tags.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    shard = (mixed >> np.uint64(32)) % np.uint64(shards)
     shard = shard.astype(np.int64)[docs]
     order = np.lexsort((places, docs, shard))
     docs, places, shard = docs[order], places[order], shard[order]

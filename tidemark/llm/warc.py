@@ -8,6 +8,7 @@ record can be read alone.  The dictionary is trained on records of the same arch
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import join_unique
 from tidemark.session import disposable, materialise, shuffle_partitions, work_dir
 
 MAGIC = 0x184D2A5D  # fixed value: skippable frame with a dictionary in .warc.zst files
@@ -27,6 +29,7 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 1 << 20  # of records that a dictionary is trained on
 SAMPLE_RECORDS = 400
 LEAST_REVISIT = 1000  # bytes of payload from which equal payloads are stored once
+SALTS = 4096  # tasks that a row repeated without end is dealt to, at most
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -141,7 +144,7 @@ def read_archive(content: bytes) -> Iterator[bytes]:
 def _writer(folder: str, archive_bytes: int):
     def write(batches):
         task = TaskContext.get()
-        fs, path = pafs.FileSystem.from_uri(folder)
+        fs, path = pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
         held, size, done = [], 0, 0
 
         def flush():
@@ -175,12 +178,16 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, ar
     payload.  A row without page_id is a response under the nil URN and is never referred to.  NULL url leaves
     the target out.  An empty table writes no archive.
 
-    Only (page_id, digest) pairs meet by digest, and only to find the largest id per digest, which tasks
-    do before the shuffle; so a page that a third of the rows repeat is cheap.  Tasks order rows by page id,
-    hence a task that runs again writes the same files.  ``folder`` is any URI that Arrow's file systems write.
+    Only (page_id, digest) pairs meet by digest, to find the largest id per digest, which tasks do before the
+    shuffle, and to learn it, where digests that many pages share are served by a bounded broadcast; a row repeated
+    without end is dealt to many tasks.  Tasks order rows by page id, hence a task that runs again writes the same
+    files.  ``folder`` is any URI that Arrow's file systems write (on executors: ``s3a:`` is written as ``s3:``, and
+    ``hdfs:`` needs libhdfs there).  An archive of fewer than 8 records has no dictionary, as there is nothing to
+    train one on.
     """
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt"),
     )
     with disposable(pages.sparkSession) as keep:
         keyed = rows.select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("_b")).where(
@@ -189,14 +196,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, ar
         keyed = materialise(keyed, "payloads")
         leaders = keyed.groupBy("_digest").agg(F.max("page_id").alias("_leader"), F.min("page_id").alias("_low")).where("_leader <> _low").drop("_low")
         leaders = materialise(leaders, "leaders")
-        revisits = keyed.join(leaders, "_digest").where("page_id <> _leader").groupBy("page_id", "_digest").agg(F.first("_leader").alias("refers_to"))
+        revisits = join_unique(keyed, leaders, "_digest", keyed.count()).where("page_id <> _leader").groupBy("page_id", "_digest").agg(F.first("_leader").alias("refers_to"))
         revisits = revisits.withColumnRenamed("page_id", "_page")
         revisits = materialise(revisits, "revisits")
         # rows are told apart by id and payload, since ids may repeat
         digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
         joined = rows.withColumn("_d", digest).join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("_d") == F.col("_digest")), "left")
-        dealt = joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("_revisit"))
-        dealt = dealt.repartition(shuffle_partitions(pages.sparkSession), F.xxhash64("page_id", "html")).sortWithinPartitions("page_id", "url", "html")
+        place = F.xxhash64("page_id", "_d", "_salt")
+        dealt = joined.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("_revisit"), place.alias("_place"))
+        dealt = dealt.repartition(shuffle_partitions(pages.sparkSession), "_place").drop("_place").sortWithinPartitions("page_id", "url", "html")
         _make_folder(pages.sparkSession, folder)
         return keep(materialise(dealt.mapInArrow(_writer(folder, archive_bytes), "archive string, records long"), "archives"))
 
