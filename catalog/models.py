@@ -202,6 +202,23 @@ def contamination_flag(spark, sf):
     return normalise.contamination_flag(f.df, 0.1, "value").select("row_id", "flag")
 
 
+def _given_arima(name, phi, theta):
+    """Residuals at given coefficients against the recursion walked row by row."""
+    @query(name, f"""WITH RECURSIVE {HOURLY_SQL}, wd AS (SELECT row_id, y - lag(y) OVER (ORDER BY row_id) AS w FROM hr),
+bs AS (SELECT row_id, w - 0.01 - {phi} * lag(w) OVER (ORDER BY row_id) AS base FROM wd),
+rc(row_id, e) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS DOUBLE) UNION ALL
+  SELECT bs.row_id, coalesce(bs.base - {theta} * rc.e, 0) FROM rc JOIN bs ON bs.row_id = rc.row_id + 1),
+md AS (SELECT median(abs(e)) AS m FROM rc WHERE row_id >= 2)
+SELECT row_id, round(CASE WHEN row_id >= 2 THEN abs(e) ELSE m END, 4) AS raw FROM rc, md WHERE row_id >= 0""")
+    def run(spark, sf):
+        detector = registry.create("arima", order=(1, 1, 1), coefficients=(0.01, [phi], [theta]))
+        return detector.raw_scores(hourly(spark, sf)).select("row_id", r("raw", 4).alias("raw"))
+
+
+_given_arima("arima_given", 0.3, 0.6)
+_given_arima("arima_slow_root", -0.2, -0.99)
+
+
 def _ensemble(method, agg, weights=None):
     @query(f"ensemble_{method}", f"WITH {TWO_SQL} SELECT row_id, round({agg}, 5) AS score FROM sc GROUP BY 1")
     def run(spark, sf):

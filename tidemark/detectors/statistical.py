@@ -17,6 +17,7 @@ from tidemark.operators.components import components
 from tidemark.operators.linalg import fit_pca
 from tidemark.operators.neighbours import Points, distinct_points, knn_points, radius_links
 from tidemark.operators.order import number_rows
+from tidemark.operators.quantile import quantiles
 from tidemark.operators.sampling import hashed_share
 from tidemark.operators.scale import scale
 from tidemark.operators.skew import join_unique
@@ -158,32 +159,88 @@ class PcaDetector(Detector):
 # ---------------------------------------------------------------- one-class SVM
 
 
-class OneClassSvm(Detector):
-    """Primal nu-SVM on random Fourier features, by distributed sub-gradient steps.
+def nearest_to_origin(points: np.ndarray) -> np.ndarray:
+    """Weights of the point nearest to the origin in the convex hull of the rows (Wolfe's active set)."""
+    products = points @ points.T
+    scale_ = max(float(np.trace(products)) / len(points), 1e-300)
+    active, weights = [int(np.argmin(np.diag(products)))], np.ones(1)
+    for _ in range(50 * len(points)):
+        toward = products[:, active] @ weights
+        best = int(np.argmin(toward))
+        if toward[best] > weights @ products[np.ix_(active, active)] @ weights - 1e-12 * scale_ or best in active:
+            break
+        active, weights = [*active, best], np.append(weights, 0.0)
+        while True:
+            # nearest point of the flat through the active rows
+            k = len(active)
+            system = np.zeros((k + 1, k + 1))
+            system[:k, :k], system[:k, k], system[k, :k] = products[np.ix_(active, active)], 1.0, 1.0
+            flat = np.linalg.lstsq(system, np.append(np.zeros(k), 1.0), rcond=None)[0][:k]
+            if (flat > 1e-12).all():
+                weights = flat
+                break
+            # walk towards it until the first weight is used up
+            down = flat <= 1e-12
+            step = np.min(weights[down] / np.maximum(weights[down] - flat[down], 1e-300))
+            weights = weights + min(step, 1.0) * (flat - weights)
+            keep = weights > 1e-12
+            active, weights = [i for i, good in zip(active, keep) if good], weights[keep] / weights[keep].sum()
+    out = np.zeros(len(points))
+    out[active] = weights
+    return out
+
 
-    Every round is one job that returns a gradient and a histogram of margins;
-    the offset rho is the nu-quantile of the margins, its exact minimiser.
+class OneClassSvm(Detector):
+    """Primal nu-SVM on random Fourier features, by cutting planes, with a certificate.
+
+    With nu n rows at weight 1 / (nu n), the sum of the lowest margins is a plane below the loss, wherever it was
+    taken; so the answer to all planes so far (the point of their hull nearest to the origin, a small problem on
+    the driver) bounds the objective from below, and its own loss from above.  A round is two jobs, a histogram of
+    margins and a sum of vectors, and the planes are all it keeps.  It stops once the gap between the bounds is at
+    most ``tolerance`` of the objective, or after ``rounds``; ``describe`` states the gap that was reached.
+    The offset rho is the exact nu-quantile of the margins.
     """
 
     name = "one_class_svm"
-    defaults = {"nu": 0.1, "kernel": "rbf", "gamma": "scale", "features": 256, "rounds": 15, "random_state": 42}
+    defaults = {"nu": 0.1, "kernel": "rbf", "gamma": "scale", "features": 256, "rounds": 200, "tolerance": 0.01, "random_state": 42}
     _BINS = 4096
 
     def raw_scores(self, frame: Frame) -> DataFrame:
-        nu, rounds = self.options["nu"], self.options["rounds"]
         scaled = unit_scaled(frame)
         data = materialise(scaled.df.select("row_id", scaled.vector().alias("v")), "svm")
         lift, size = self._lift(scaled)
-
-        mean = self._fold(data, lambda x: lift(x), size)
-        w = mean / frame.n
-        rho = self._margin_quantile(data, lift, w, nu)
-        for t in range(1, rounds + 1):
-            gradient = self._fold(data, lambda x, w=w, rho=rho: self._violators(lift(x), w, rho), size)
-            step = 1.0 / (t + 2)
-            w = (1 - step) * w + step * gradient / (nu * frame.n)
-            rho = self._margin_quantile(data, lift, w, nu)
-        return data.select("row_id", array_score(F.col("v"), lambda x: rho - lift(x) @ w).alias("raw"))
+        low_rows = max(self.options["nu"] * frame.n, 1.0)
+        planes = [self._fold(data, lift, size) / frame.n]
+        w = planes[0]
+        for done in range(1, self.options["rounds"] + 1):
+            plane, loss = self._plane(data, lift, size, w, low_rows)
+            lower, upper = -0.5 * float(w @ w), 0.5 * float(w @ w) + loss
+            self.certificate = {"rounds": done, "objective": upper, "lower_bound": lower, "gap": upper - lower}
+            if upper - lower <= self.options["tolerance"] * abs(lower):
+                break
+            planes.append(plane)
+            stacked = np.stack(planes)
+            weights = nearest_to_origin(stacked)
+            planes = [p for p, used in zip(planes, weights) if used > 0]
+            w = weights @ stacked
+        margins = materialise(data.select("row_id", array_score(F.col("v"), lambda x, w=w: lift(x) @ w).alias("m")), "margins")
+        rho = quantiles(margins, ["m"], [self.options["nu"]], n=frame.n)["m"][0]
+        return margins.select("row_id", (F.lit(rho) - F.col("m")).alias("raw"))
+
+    def describe(self) -> dict:
+        return {**super().describe(), "certificate": getattr(self, "certificate", None)}
+
+    def _plane(self, data: DataFrame, lift, size: int, w: np.ndarray, low_rows: float) -> tuple[np.ndarray, float]:
+        """Mean vector of the ``low_rows`` rows with the lowest margins, and an upper bound of the loss at ``w``.
+
+        The rows inside the bin that holds the last of them share the weight that is left.
+        """
+        low, high = self._bracket(data, lift, w, low_rows)
+        sums = self._fold(data, lambda x: _parted(lift(x), w, low, high), 2 * size + 2)
+        below, inside, n_below, n_inside = sums[:size], sums[size: 2 * size], sums[-2], sums[-1]
+        share = (low_rows - n_below) / n_inside if n_inside else 0.0
+        short = (n_below + n_inside) * high - float(w @ (below + inside))
+        return (below + share * inside) / low_rows, short / low_rows - high
 
     def _lift(self, scaled: Frame):
         d = len(scaled.features)
@@ -208,10 +265,6 @@ class OneClassSvm(Detector):
         phase = rng.uniform(0.0, 2.0 * math.pi, size)
         return (lambda x: math.sqrt(2.0 / size) * np.cos(x @ weights + phase)), size
 
-    @staticmethod
-    def _violators(z, w, rho):
-        return z * ((z @ w) < rho)[:, None]
-
     @staticmethod
     def _fold(data: DataFrame, function, size: int) -> np.ndarray:
         """Sum of the rows of ``function(x)``, folded per task and summed on the cluster."""
@@ -229,21 +282,24 @@ class OneClassSvm(Detector):
         out[pdf["i"]] = pdf["s"]
         return out
 
-    def _margin_quantile(self, data, lift, w, q) -> float:
-        """Quantile of w.z from a fixed histogram over its possible range."""
+    def _bracket(self, data: DataFrame, lift, w: np.ndarray, low_rows: float) -> tuple[float, float]:
+        """Edges of the bin in which the ``low_rows`` lowest margins end."""
         span = max(float(np.linalg.norm(w)) * 2.0, 1e-12)
         if self.options["kernel"] == "linear":
             span = max(float(np.abs(w).sum()), 1e-12)
         bins = self._BINS
-        counts = self._fold(
-            data,
-            lambda x: np.bincount(
-                np.clip(((lift(x) @ w + span) / (2 * span) * bins).astype(int), 0, bins - 1), minlength=bins
-            )[None, :],
-            bins,
-        )
-        at = int(np.searchsorted(np.cumsum(counts), q * counts.sum()))
-        return (at + 0.5) / bins * 2 * span - span
+        edges = np.linspace(-span, span, bins + 1)
+        edges[0], edges[-1] = -np.inf, np.inf
+        counts = self._fold(data, lambda x: np.bincount(np.searchsorted(edges, lift(x) @ w, "right") - 1, minlength=bins)[None, :bins], bins)
+        at = int(np.searchsorted(np.cumsum(counts), low_rows))
+        return float(edges[at]), float(min(edges[at + 1], span * 1.001))
+
+
+def _parted(z: np.ndarray, w: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Rows below ``low`` beside rows from ``low`` to below ``high``, and a mark for each."""
+    margins = z @ w
+    below, inside = margins < low, (margins >= low) & (margins < high)
+    return np.hstack([z * below[:, None], z * inside[:, None], below[:, None], inside[:, None]])
 
 
 # ---------------------------------------------------------------- local outlier factor

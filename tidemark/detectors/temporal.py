@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +12,9 @@ from tidemark.detectors.base import Detector
 from tidemark.frame import Frame
 from tidemark.functions.scalars import row_mean
 from tidemark.operators.linalg import gram
-from tidemark.operators.order import over_blocks, pack_blocks
+from tidemark.operators.order import over_blocks
 from tidemark.operators.quantile import median
+from tidemark.operators.recursion import filtered
 from tidemark.operators.series import detect_period, fill_median, moving_average_residual, seasonal_residual
 from tidemark.session import materialise
 
@@ -93,13 +93,14 @@ class Arima(Detector):
 
     Coefficients come from normal equations on lag columns, with the differenced
     series clipped to median +- 4 robust deviations so that outliers do not bend
-    the fit.  The residual recursion runs per block after a warm-up halo.
+    the fit.  ``coefficients`` (constant, phi, theta) skip the fit.  The residuals are the exact recursion from the
+    first row on (``operators/recursion.py``).  A fitted moving-average part that does not forget its start is
+    replaced by the one with the same autocovariances that does: roots beyond the unit circle by their inverses.
     """
 
     name = "arima"
-    defaults = {"order": (1, 1, 1), "contamination": 0.1}
+    defaults = {"order": (1, 1, 1), "contamination": 0.1, "coefficients": None}
     normaliser = (0.05, 0.95)
-    WARM_UP = 256
 
     def raw_scores(self, frame: Frame) -> DataFrame:
         p, d, q = self.options["order"]
@@ -108,6 +109,9 @@ class Arima(Detector):
             series = over_blocks(series, frame.n, {"_prev": lambda w: F.lag("y").over(w)}, 1)
             series = series.select("row_id", (F.col("y") - F.col("_prev")).alias("y"))
         series = materialise(series.withColumnRenamed("y", "w"), "differences")
+        if self.options["coefficients"] is not None:
+            const, phi, theta = self.options["coefficients"]
+            return fill_median(self._residuals(series, frame.n, d, const, np.asarray(phi, float), np.asarray(theta, float)))
         mid = median(series, "w")
         if mid is None:
             return frame.df.select("row_id", F.lit(0.0).alias("raw"))
@@ -115,8 +119,7 @@ class Arima(Detector):
         clipped = F.greatest(F.least(F.col("w"), F.lit(mid + spread)), F.lit(mid - spread)) if spread > 0 else F.col("w")
         series = series.withColumn("c", clipped)
         const, phi, theta = self._fit(series, frame.n, p, q, with_const=d == 0)
-        residual = materialise(self._residuals(series, frame.n, d, const, phi, theta), "arima")
-        return fill_median(residual)
+        return fill_median(self._residuals(series, frame.n, d, const, phi, theta))
 
     def _lagged(self, df, n, spec):
         exprs = {
@@ -151,39 +154,21 @@ class Arima(Detector):
 
     @staticmethod
     def _invertible(theta: np.ndarray) -> np.ndarray:
-        """Shrink a moving-average part until its recursion forgets its start."""
-        while len(theta) and np.abs(np.roots([1.0, *theta])).max(initial=0.0) > 0.95:
-            theta = theta * 0.9
-        return theta
+        """The same autocovariances (up to scale) with every root of the recursion inside or on the unit circle."""
+        roots = np.roots([1.0, *theta]) if len(theta) else np.zeros(0)
+        outside = np.abs(roots) > 1.0
+        if not outside.any():
+            return theta
+        return np.real(np.poly(np.where(outside, 1.0 / np.conj(np.where(outside, roots, 1.0)), roots)))[1:]
 
     def _residuals(self, series, n, d, const, phi, theta) -> DataFrame:
         p, q = len(phi), len(theta)
         start = d + p  # first row with a full history
-        blocks, size = pack_blocks(series, n, F.col("w"), before=(self.WARM_UP if q else 0) + p + q)
-
-        def recur(batches):
-            for batch in batches:
-                # blocks side by side: the recursion walks along a block, every step serves all of them
-                ats = [np.asarray(at) for at in batch["at"]]
-                longest = max((len(at) for at in ats), default=0)
-                w = np.full((longest, len(ats)), np.nan)
-                for k, values in enumerate(batch["v"]):
-                    w[: len(values), k] = [np.nan if v is None else v for v in values]
-                base = w - const
-                for i, f in enumerate(phi, 1):
-                    shifted = np.full_like(w, np.nan)
-                    shifted[i:] = w[:-i]
-                    base = base - f * shifted
-                e = base
-                if q:
-                    known = np.isfinite(base)
-                    e = np.zeros((longest + q, len(ats)))
-                    for t in range(longest):
-                        e[t + q] = np.where(known[t], base[t] - theta @ e[t: t + q][::-1], 0.0)
-                    e = np.where(known, e[q:], np.nan)
-                for k, (block, at) in enumerate(zip(batch["_block"], ats)):
-                    own = at // size == block
-                    raw = np.abs(np.where(at >= start, e[: len(at), k], np.nan))[own]
-                    yield pd.DataFrame({"row_id": at[own], "raw": pd.array(raw, dtype="Float64")})
-
-        return blocks.mapInPandas(recur, "row_id bigint, raw double")
+        lagged, names = self._lagged(series.select("row_id", "w"), n, [("w", p)]) if p else (series.select("row_id", "w"), [])
+        base = F.col("w") - F.lit(float(const))
+        for f, name in zip(phi, names):
+            base = base - F.lit(float(f)) * F.col(name)
+        based = materialise(lagged.select("row_id", base.alias("base")), "arima-base")
+        if q:
+            based = filtered(based, n, "base", F.array(*[F.lit(float(t)) for t in theta]), q, F.col("row_id") == 0).withColumnRenamed("e", "base")
+        return materialise(based.select("row_id", F.when(F.col("row_id") >= start, F.abs("base")).alias("raw")), "arima")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.detectors import registry
 from tidemark.frame import Frame
-from tidemark.operators.evaluate import evaluate
+from tidemark.operators.evaluate_groups import evaluate_by
 from tidemark.operators.features import engineer, feature_columns
 from tidemark.operators.impute import impute
 from tidemark.operators.linalg import Pca, fit_pca
@@ -143,14 +143,8 @@ def run_models(
 
 
 def metrics_of(scores: DataFrame, models: Sequence[str], n: int, threshold: float, labelled: bool, timed: bool) -> DataFrame:
-    """(model, metric, value) for every model."""
-    parts = []
-    for name in models:
-        mine = scores.where(F.col("model") == name)
-        parts.append(
-            evaluate(mine, n, threshold, labelled, timed).withColumn("model", F.lit(name))
-        )
-    return functools.reduce(DataFrame.unionByName, parts).select("model", "metric", "value")
+    """(model, metric, value) for every model, all of them in one set of jobs."""
+    return evaluate_by(scores.where(F.col("model").isin(*models)), ["model"], threshold, labelled, timed)
 
 
 def detect(
