@@ -154,8 +154,8 @@ def components_for(ratios: np.ndarray, share: float, inclusive: bool = False) ->
     return int(min(np.searchsorted(cumulative, share, side=side) + 1, len(ratios)))
 
 
-def fit_pca(df: DataFrame, cols: Sequence[str], n_components: float | int = 0.95) -> Pca:
-    mean, cov, _ = covariance(df, cols)
+def principal(cov: np.ndarray, n_components: float | int) -> tuple[np.ndarray, np.ndarray]:
+    """(components to keep as rows, all variances) of a covariance matrix, largest first."""
     values, vectors = np.linalg.eigh(cov)
     values = np.clip(values[::-1], 0.0, None)
     vectors = vectors[:, ::-1].T
@@ -168,4 +168,10 @@ def fit_pca(df: DataFrame, cols: Sequence[str], n_components: float | int = 0.95
         k = components_for(ratios, n_components) if total > 0 else len(values)
     else:
         k = min(int(n_components), len(values))
-    return Pca(tuple(cols), mean, vectors[:k], values)
+    return vectors[:k], values
+
+
+def fit_pca(df: DataFrame, cols: Sequence[str], n_components: float | int = 0.95) -> Pca:
+    mean, cov, _ = covariance(df, cols)
+    components, values = principal(cov, n_components)
+    return Pca(tuple(cols), mean, components, values)

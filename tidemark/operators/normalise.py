@@ -30,6 +30,13 @@ def quantile_clip_by(df: DataFrame, series, low: float, high: float, raw: str =
     return join_series(df, q, series).withColumn(out, ramp).drop("_lo", "_hi")
 
 
+def minmax_by(df: DataFrame, series, raw: str = "raw", out: str = "score") -> DataFrame:
+    span = df.groupBy(*series).agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    ramp = F.when(F.col(raw).isNotNull(), F.coalesce((F.col(raw) - F.col("_lo")) / width, F.lit(0.0)))
+    return join_series(df, span, series).withColumn(out, ramp).drop("_lo", "_hi")
+
+
 def above_one(df: DataFrame, raw: str = "raw", out: str = "score") -> DataFrame:
     """Local-outlier-factor form: excess over 1 relative to the largest excess."""
     top = df.agg(F.max(raw)).first()[0]

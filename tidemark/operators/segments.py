@@ -21,7 +21,7 @@ from tidemark.session import materialise
 
 @dataclass(frozen=True)
 class Segments:
-    """``df`` with the segment's number ``_g`` and the place in all ``_pos``; ``groups``: by..., _g, _n (rows), _offset."""
+    """``df`` with the segment's number ``_g``, its rows ``_n`` and the place in all ``_pos``; ``groups``: by..., _g, _n (rows), _offset."""
 
     df: DataFrame
     groups: DataFrame
@@ -45,7 +45,7 @@ def segment(df: DataFrame, by: Sequence[str], pos: str = "row_id") -> Segments:
         running_totals(numbered, k, {"_upto": "_n"}, pos="_g").withColumn("_offset", F.col("_upto") - F.col("_n")).drop("_upto"), "segments"
     )
     total = groups.agg(F.sum("_n")).first()[0] or 0
-    laid = join_series(df, groups, by, total).withColumn("_pos", F.col("_offset") + F.col(pos)).drop("_offset", "_n")
+    laid = join_series(df, groups, by, total).withColumn("_pos", F.col("_offset") + F.col(pos)).drop("_offset")
     return Segments(materialise(laid, "laid"), groups, tuple(by), total)
 
 
@@ -54,3 +54,16 @@ def previous_within(df: DataFrame, n: int, columns: dict[str, str], back: int =
     held = over_blocks(df, n, exprs, before=back, pos=pos)
     same = F.col("_before_g") == F.col("_g")
     return held.withColumns({new: F.when(same, F.col(new)) for new in columns}).drop("_before_g")
+
+
+def lags_within(df: DataFrame, n: int, spec: Sequence[tuple[str, int]], pos: str = "_pos") -> tuple[DataFrame, list[str]]:
+    """Add ``c_1 .. c_m`` for every (c, m) of ``spec``: values of earlier rows of the same segment, else NULL."""
+    reach = max([m for _, m in spec], default=0)
+    if not reach:
+        return df, []
+    names = {f"{c}_{k}": (c, k) for c, m in spec for k in range(1, m + 1)}
+    exprs = {new: (lambda w, c=c, k=k: F.lag(c, k).over(w)) for new, (c, k) in names.items()}
+    exprs |= {f"_g_{k}": (lambda w, k=k: F.lag("_g", k).over(w)) for k in range(1, reach + 1)}
+    held = over_blocks(df, n, exprs, before=reach, pos=pos)
+    same = {new: F.when(F.col(f"_g_{k}") == F.col("_g"), F.col(new)) for new, (_, k) in names.items()}
+    return held.withColumns(same).drop(*[f"_g_{k}" for k in range(1, reach + 1)]), list(names)

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.detectors import registry
+from tidemark.detectors.per_series import raw_scores_by
 from tidemark.frame import Frame
 from tidemark.operators.evaluate_groups import evaluate_by
 from tidemark.operators.features import engineer, feature_columns
-from tidemark.operators.impute import impute
+from tidemark.operators.impute import impute, impute_by
 from tidemark.operators.linalg import Pca, fit_pca
 from tidemark.operators.order import number_rows
-from tidemark.operators.scale import scale
+from tidemark.operators.normalise import minmax_by, quantile_clip_by
+from tidemark.operators.scale import scale, scale_by
+from tidemark.operators.segments import segment
 from tidemark.plans.selection import select_models
 from tidemark.session import materialise
 from tidemark.sources.readers import TIMESTAMP_NAMES, detect_timestamp, nan_to_null, read_events
@@ -197,6 +200,56 @@ def detect(
     return result
 
 
+@dataclass(frozen=True)
+class SeriesDetection:
+    scores: DataFrame  # series..., row_id, ts, model, score
+    metrics: DataFrame  # series..., model, metric, value
+
+
+def detect_series(
+    df: DataFrame,
+    series: Sequence[str],
+    order_by: Sequence[str],
+    features: Sequence[str],
+    models: Sequence[str] = ("pca",),
+    label_col: str | None = None,
+    ts: str | None = None,
+    threshold: float = 0.5,
+    model_options: dict[str, dict] | None = None,
+    missing_strategy: str = "mean",
+    scaling_method: str | None = None,
+    feature_engineering: bool = False,
+) -> SeriesDetection:
+    """A run for every series, each with its own order, statistics, models and metrics, as one plan.
+
+    The work and the number of jobs do not depend on the number of series, and a series may hold most of the
+    rows.  Models are those of ``detectors/per_series.py``.
+    """
+    series, cols = list(series), list(features)
+    keep = list(dict.fromkeys([*series, *order_by, *([ts] if ts else []), *([label_col] if label_col else []), *cols]))
+    rows = impute_by(nan_to_null(df.select(*keep)), cols, series, missing_strategy)
+    rows, n = number_rows(rows, list(order_by), series=series)
+    side = [*([F.col(ts).cast("timestamp").alias("ts")] if ts else []), *([F.col(label_col).cast("int").alias("label")] if label_col else [])]
+    named = [c.alias(f"_{k}") for k, c in enumerate(side)]
+    rows = rows.select(*series, "row_id", *named, *cols)
+    if feature_engineering:
+        rows, cols = engineer(rows, cols, n, "_0" if ts else None, series=series)
+    if scaling_method:
+        rows = scale_by(materialise(rows, "features"), cols, series, scaling_method)
+    segments = segment(rows, series)
+    tables = []
+    for name in models:
+        raw = materialise(raw_scores_by(segments, cols, name, (model_options or {}).get(name)), f"raw-{name}")
+        rule = registry.entry(name).detector.normaliser
+        scored = quantile_clip_by(raw, ["_g"], *rule) if isinstance(rule, tuple) else minmax_by(raw, ["_g"])
+        tables.append(scored.select("_g", "row_id", F.lit(name).alias("model"), "score"))
+    told = segments.df.select("_g", "row_id", *series, *[F.col(f"_{k}").alias(name) for k, name in enumerate([*(["ts"] if ts else []), *(["label"] if label_col else [])])])
+    scores = functools.reduce(DataFrame.unionByName, tables).join(told, ["_g", "row_id"]).drop("_g")
+    scores = materialise(scores, "series-scores")
+    metrics = evaluate_by(scores, [*series, "model"], threshold, label_col is not None, ts is not None)
+    return SeriesDetection(scores, metrics)
+
+
 def detect_files(spark: SparkSession, paths: Sequence[str], kind: str | None = None, fmt: str | None = None,
                  schema=None, **options) -> dict[str, Detection]:
     """Independent runs, one per file: own statistics, own model, own results."""
