@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROW_GROUP = 16 << 20  # bytes of an intermediate table that a writing task holds
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -60,7 +61,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{work_dir(spark)}/{app}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     made = _MADE.now.get()
