@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 
 from tidemark.session import shuffle_partitions
 
-FLUSH = 1_500_000  # keys a task holds before it packs them
+FLUSH = 1_000_000  # keys a task holds before it packs them
 PER_TASK = 3  # buckets for each shuffle partition, taken one after the other
 
 PACKED = "bucket int, done boolean, docs binary, counts binary, places binary, keys binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("done", pa.bool_()), *((c, pa.binary()) for c in ("docs", "counts", "places", "keys"))])
 FOUND = "doc_id long, tag long, places binary"
-LOT = 2_000_000  # found entries a task holds before it deals them to the shards of documents
+LOT = 1_000_000  # found entries a task holds before it deals them to the shards of documents
 _FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
 
 Offer = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
