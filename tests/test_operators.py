@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.detectors.ensemble import combine
 from tidemark.functions import scalars
-from tidemark.operators import evaluate, neighbours, runs, sequences, series
+from tidemark.operators import evaluate, knn_impute, neighbours, runs, sequences, series
 from tidemark.operators.encode import encode_category
 from tidemark.operators.features import feature_columns
 from tidemark.operators.impute import impute
@@ -159,6 +159,33 @@ def test_knn_impute_against_brute_force(spark):
         assert np.isclose(got[i, j], np.mean([y[o, j] for _, o in sorted(donors)[:5]])), (i, j)
 
 
+def test_knn_impute_leaves_far_chunks_alone(spark, monkeypatch):
+    """Clusters, several classes of missing columns, ties and a row with nothing: the brute force's answers from few pairs."""
+    monkeypatch.setattr(knn_impute, "QUERY_CHUNK", 8)
+    monkeypatch.setattr(knn_impute, "DONOR_CHUNK", 16)
+    rng = np.random.default_rng(18)
+    n = 600
+    x = np.round(rng.normal(size=(n, 4)) + 40 * rng.integers(0, 8, (n, 1)), 1)
+    y = np.where(rng.random(x.shape) < 0.12, np.nan, x)
+    y[5] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(a) else float(a) for a in v]) for i, v in enumerate(y)], "row_id bigint, a double, b double, c double, d double").repartition(4)
+    got = impute(df, list("abcd"), "knn").toPandas().sort_values("row_id")[list("abcd")].to_numpy()
+    known = ~np.isnan(y)
+    for i, j in zip(*np.nonzero(~known)):
+        shared = (known[i] & known).sum(1)
+        usable = [o for o in range(n) if o != i and known[o, j] and shared[o]]
+        dist = {o: np.sqrt(4 / shared[o] * ((y[i] - y[o])[known[i] & known[o]] ** 2).sum()) for o in usable}
+        near = sorted(usable, key=lambda o: (dist[o], o))[:5]
+        want = np.mean([y[o, j] for o in near]) if near else np.nanmean(y[:, j])
+        assert np.isclose(got[i, j], want), (i, j)
+    patterns, _ = knn_impute.indexed_patterns(df, list("abcd"))
+    left = patterns.where("contains(mask, '0')").selectExpr("v", "ids", "mask", "floor(_at / 8) AS chunk")
+    right = patterns.selectExpr("v", "ids", "mask", "floor(_at / 16) AS chunk")
+    met = knn_impute.chunk_pairs(left, right, 4).count()
+    whole = left.select("mask", "chunk").distinct().count() * right.select("mask", "chunk").distinct().count()
+    assert met < 0.5 * whole
+
+
 def test_impute_strategies(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, None), (3, 4.0), (4, 4.0), (5, 10.0)], "row_id bigint, x double")
     value = {s: impute(df, ["x"], s).where("row_id = 2").first()["x"] for s in ("mean", "median", "most_frequent", "constant")}
