@@ -33,7 +33,7 @@ PARITY = 4  # 64-bit words of a set's parity bitmap
 LIST_BLOCK = 1024  # sets of an index list compared at once
 SHORT_LIST = 8  # lists of up to so many sets are compared together with others
 HOT_SHARE = 1000  # an n-gram in more than one of so many sets is ordered last and has no list
-BLOCK_TOKENS = 2_000_000  # n-grams of the sets of one block
+BLOCK_TOKENS = 1_000_000  # n-grams of the sets of one block
 BLOCK_SETS = 256
 LEADERS = 16  # sets whose overlaps a block keeps to derive others from
 
