@@ -186,12 +186,13 @@ def hopkins(frame: Frame, seed: int = 42, probes: int = HOPKINS_PROBES) -> float
 
     def nearest(batches):
         best = np.full(len(points), np.inf)
+        step = max(1, 4_000_000 // points.size)  # rows compared at once: some 32 MB of differences
         for batch in batches:
             values = batch[features].to_numpy(dtype=float)
             ids = batch["row_id"].to_numpy()
-            for k in range(0, len(values), 4096):
-                square = ((points[:, None, :] - values[None, k: k + 4096, :]) ** 2).sum(2)
-                square[rows[:, None] == ids[None, k: k + 4096]] = np.inf
+            for k in range(0, len(values), step):
+                square = ((points[:, None, :] - values[None, k: k + step, :]) ** 2).sum(2)
+                square[rows[:, None] == ids[None, k: k + step]] = np.inf
                 best = np.minimum(best, square.min(1))
         yield pd.DataFrame({"point": np.arange(len(points)), "square": best})
 
