@@ -8,7 +8,7 @@ from catalog.registry import (
     HOURLY_SQL, LINES_SQL, SCORED_SQL, THRESHOLD, hourly, lines, query, r, scored_events,
 )
 from tidemark.functions.scalars import flag
-from tidemark.operators import runs, sequences, series
+from tidemark.operators import runs, sequences, series, spectrum
 from tidemark.operators.order import over_blocks, prefix_sums, running_totals
 from tidemark.session import materialise
 
@@ -127,6 +127,14 @@ def autocorrelation(spark, sf):
     return series.autocorrelation(f.df, f.n, 0, 200).select("lag", r("value", 4).alias("value"))
 
 
+@query("autocorrelation_all_lags", f"""
+WITH {HOURLY_SQL} SELECT b.row_id - a.row_id AS lag, round(sum(a.y * b.y), 4) AS value
+FROM hr a JOIN hr b ON b.row_id >= a.row_id GROUP BY 1""")
+def autocorrelation_all_lags(spark, sf):
+    f = hourly(spark, sf)
+    return spectrum.all_lags(f.df, f.n).select("lag", r("value", 4).alias("value"))
+
+
 @query("period_detection", f"""
 WITH {HOURLY_SQL}, a AS (SELECT b.row_id - a.row_id AS k, sum(a.y * b.y) AS v FROM hr a JOIN hr b ON b.row_id >= a.row_id GROUP BY 1),
 f AS (SELECT k, v, lag(v) OVER (ORDER BY k) AS u, lead(v) OVER (ORDER BY k) AS d, max(v) OVER () AS top FROM a)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.order import over_blocks, pack_blocks, running_totals
 from tidemark.operators.quantile import median
+from tidemark.operators.spectrum import EXACT_BELOW, block_length, first_peak_of, lag_blocks
 from tidemark.session import materialise
 
-MAX_LAGS = 1 << 18  # lags per round, which bounds the rows a block holds
-FIRST_LAGS = 512
+FIRST_LAGS = 512  # lags that the search for a period tries before it computes all
 LONG_FRAME = 256
 
 
@@ -74,7 +74,8 @@ def autocorrelation(df: DataFrame, n: int, low: int, high: int, y: str = "y") ->
     """Uncentred sums of y_i * y_(i+k) for low <= k <= high: lag, value.
 
     Each block of rows meets the rows ``low`` to ``high`` further on; tasks return
-    partial sums per lag.  The lag range should not exceed ``MAX_LAGS``.
+    partial sums per lag.  Made for short ranges, since a block holds more rows than the range has lags;
+    ``spectrum.all_lags`` gives them all.
     """
     high = min(high, n - 1)
     reach = high - low
@@ -104,28 +105,26 @@ def autocorrelation(df: DataFrame, n: int, low: int, high: int, y: str = "y") ->
 def detect_period(df: DataFrame, n: int, y: str = "y") -> int:
     """Smallest lag >= 2 that is a local peak of the autocorrelation, at least a tenth of its top.
 
-    Lags are computed in growing ranges; the first peak ends the search.  Without
-    a peak the period is a tenth of the series.
+    The first ``FIRST_LAGS`` lags are tried alone.  Without a peak among them one transform gives all lags, whose
+    peaks are found where they are: a handful of jobs for any length.  Without any peak the period is a tenth of
+    the series.
     """
     fallback = max(2, n // 10)
     if n < 4:
         return fallback
-    top = df.agg(F.sum(F.col(y) * F.col(y))).first()[0] or 0.0
-    low, high = 1, min(FIRST_LAGS, n - 1)
-    start, values = 1, np.zeros(0)
-    while True:
-        part = autocorrelation(df, n, low, high, y).orderBy("lag").toPandas()
-        values = np.concatenate([values, part["value"].to_numpy()])
-        peak = first_peak(values, 0.1 * top)
-        if peak is not None:
-            return start + peak
-        if high == n - 1:
-            return fallback
-        # carry over the tail that can still become a peak: the last rise and its plateau
-        changed = np.flatnonzero(np.diff(values) != 0)
-        cut = int(changed[-1]) if len(changed) else 0
-        start, values = start + cut, values[cut:]
-        low, high = high + 1, min(high + min(2 * (high - low + 1), MAX_LAGS), n - 1)
+    y_ = F.col(y).cast("double")
+    seen = df.agg(F.sum(y_ * y_).alias("top"), F.coalesce(F.every(y_ == F.rint(y_)), F.lit(False)).alias("whole")).first()
+    top = seen["top"] or 0.0
+    whole = seen["whole"] and top < EXACT_BELOW
+    first = min(FIRST_LAGS, n - 1)
+    values = autocorrelation(df, n, 1, first, y).orderBy("lag").toPandas()["value"].to_numpy()
+    peak = first_peak(np.rint(values) if whole else values, 0.1 * top)
+    if peak is not None:
+        return 1 + peak
+    if first == n - 1:
+        return fallback
+    size = block_length(n)
+    return first_peak_of(lag_blocks(df, n, y, whole, size), size, 0.1 * top) or fallback
 
 
 def first_peak(a: np.ndarray, height: float) -> int | None:
