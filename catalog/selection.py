@@ -247,6 +247,28 @@ def chart_score_grid(spark, sf):
     return report.score_grid(flat).select("cx", "cy", r("mean_score").alias("mean_score"), "points")
 
 
+SURFACE_SQL = f"""{GRID_SQL}, pl AS (SELECT (value - v0) / ((v1 - v0) / 49) AS u, (k - k0) / ((k1 - k0) / 49) AS v, score FROM gr
+  WHERE value IS NOT NULL AND k IS NOT NULL AND score IS NOT NULL),
+rep AS (SELECT avg(u) AS u, avg(v) AS v, avg(score) AS s FROM pl
+  GROUP BY least(floor(u * (50.0::DOUBLE / 49)), 49), least(floor(v * (50.0::DOUBLE / 49)), 49)),
+nd AS (SELECT a.i AS gx, b.i AS gy FROM (SELECT unnest(range(50)) AS i) a, (SELECT unnest(range(50)) AS i) b),
+far AS (SELECT gx, gy, u - gx AS du, v - gy AS dv, s, 1 / greatest((u - gx) * (u - gx) + (v - gy) * (v - gy), 1e-6) ** 2 AS w FROM nd, rep),
+mo AS (SELECT gx, gy, sum(w * du) / sum(w) AS mu, sum(w * dv) / sum(w) AS mv, sum(w * s) / sum(w) AS ms,
+  sum(w * du * du) / sum(w) AS uu, sum(w * dv * dv) / sum(w) AS vv, sum(w * du * dv) / sum(w) AS uv,
+  sum(w * du * s) / sum(w) AS us, sum(w * dv * s) / sum(w) AS vs FROM far GROUP BY 1, 2),
+ce AS (SELECT gx, gy, mu, mv, ms, uu - mu * mu AS uu, vv - mv * mv AS vv, uv - mu * mv AS uv, us - mu * ms AS us, vs - mv * ms AS vs FROM mo),
+fi AS (SELECT *, uu * vv - uv * uv AS det FROM ce)"""
+
+
+@query("chart_score_surface", f"""WITH {SURFACE_SQL}
+SELECT CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy, round(least(greatest(CASE WHEN det <= 1e-9 * (uu + vv) ** 2 THEN ms
+  ELSE ms - (us * vv - vs * uv) / det * mu - (vs * uu - us * uv) / det * mv END, 0), 1), 5) AS score FROM fi""")
+def chart_score_surface(spark, sf):
+    f = event_frame(spark, sf)
+    flat = report.projection(f.df, f.features, two_models(spark, sf), "by_value")
+    return report.score_surface(flat).select("gx", "gy", r("score", 5).alias("score"))
+
+
 @query("chart_histogram", f"""WITH {TWO_SQL}, m AS (SELECT *, min(score) OVER (PARTITION BY model) AS lo, max(score) OVER (PARTITION BY model) AS hi FROM sc)
 SELECT model, CAST(least(floor((score - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin, count(*) AS frequency FROM m GROUP BY 1, 2""")
 def chart_histogram(spark, sf):
