@@ -137,7 +137,7 @@ def series_detect(spark, sf):
 @query("summary_text", f"""WITH {EVENTS_BY_SQL}, ct AS (SELECT series, count(*) AS n, count(*) FILTER (score > 0.5) AS hit FROM sb GROUP BY 1)
 SELECT series, 'overall' || chr(10) || '  total_samples: ' || n || chr(10) || '  anomalies_detected: ' || hit AS head FROM ct""")
 def metrics_as_text(spark, sf):
-    """The first lines of the readable summary of each series (figures below 10 000 are written in full)."""
+    """The first lines of the readable summary of each series (counts are written in full)."""
     metrics = evaluate_by(_events_by(spark, sf), ["series"], 0.5, labelled=True)
     per = metrics.groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
     text = F.udf(lambda m: "\n".join(summary_text(m).split("\n")[:3]), "string")  # a row per series

@@ -77,3 +77,13 @@ def test_one_plan_for_all(spark, many):
     assert found.metrics.select("s", "model").distinct().count() == 2 * len(SIZES)
     with pytest.raises(ValueError):
         detect_series(df, ["s"], ["row_id"], ["x"], ["isolation_forest"])
+
+
+def test_summary_writes_counts_in_full():
+    from tidemark.operators.evaluate import summary_text
+
+    text = summary_text({"total_samples": 20012.0, "anomalies_detected": 123456.0, "auc_roc": 0.123456, "num_anomaly_episodes": 1234567.0})
+    assert text.split("\n") == [
+        "overall", "  total_samples: 20012", "  anomalies_detected: 123456", "with labels", "  auc_roc: 0.1235",
+        "over time", "  num_anomaly_episodes: 1234567",
+    ]
