@@ -230,3 +230,29 @@ def test_user_detector_computes_in_tasks(spark, tmp_path):
     finally:
         registry.unregister_detector("mine")
     assert got == {i: i / 8 for i in range(9)}
+
+
+def test_cells_link_as_all_pairs_do(spark):
+    """Crowded layers just within, at and beyond the radius; single bridges between cells of different components."""
+    from tidemark.operators.cells import linked_cells, touch
+
+    rng = np.random.default_rng(8)
+    radius = 0.25
+    layers = [np.column_stack([rng.uniform(0, 1, (300, 2)), np.full(300, z)]) for z in (0.0, 0.25, 0.6, 0.849, 1.2)]
+    x = np.vstack([*layers, rng.uniform(1.5, 4, (200, 3))])
+    x[300] = x[0] + [0, 0, 0.25]  # the only link between the first two layers
+    side = radius / np.sqrt(3) * (1 - 1e-9)
+    _, cell = np.unique(np.floor(x / side), axis=0, return_inverse=True)
+    node = np.array([np.flatnonzero(cell == c)[0] for c in range(cell.max() + 1)])[cell.ravel()]
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= radius
+    root = np.arange(len(x))
+    while True:
+        least = np.where(near, root[None, :], len(x)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    df = spark.createDataFrame([(i, row.tolist(), int(n)) for i, (row, n) in enumerate(zip(x, node))], "pid bigint, v array<double>, node bigint")
+    got = {r["node"]: r["root"] for r in linked_cells(df, len(x), radius).collect()}
+    assert [got[n] for n in node] == root.tolist()
+    for a, b in ((layers[0], layers[1]), (layers[2], layers[3]), (layers[1], layers[2])):
+        assert touch(a, b, radius) == bool((np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) <= radius).any())
