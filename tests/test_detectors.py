@@ -256,3 +256,24 @@ def test_cells_link_as_all_pairs_do(spark):
     assert [got[n] for n in node] == root.tolist()
     for a, b in ((layers[0], layers[1]), (layers[2], layers[3]), (layers[1], layers[2])):
         assert touch(a, b, radius) == bool((np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) <= radius).any())
+
+
+@pytest.mark.parametrize("net, shape", [
+    (nets.DenseNet(3, [4, 2], 0.3), (9, 3)), (nets.LstmNet(2, 4, 3), (7, 4, 2)), (nets.AttentionNet(2, 4, 8, 2), (7, 4, 2)),
+])
+def test_written_out_gradients_equal_the_tape(net, shape):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=shape)
+    params = [p + 0.1 * rng.normal(size=p.shape) for p in net.init(rng)]
+    for drop in (None, 5):
+        leaves = [nets.Tensor(p) for p in params]
+        gap = net.forward(leaves, x, drop and np.random.default_rng(drop)) - x
+        want = (gap * gap).mean()
+        want.backward()
+        loss, grads = net.gradient(params, x, drop and np.random.default_rng(drop))
+        assert loss == pytest.approx(float(want.data.ravel()[0]), rel=1e-12)
+        for leaf, grad in zip(leaves, grads):
+            assert np.allclose(leaf.grad, grad, rtol=1e-9, atol=1e-12)
+    assert np.allclose(net.predict(params, x), net.forward([nets.Tensor(p) for p in params], x).data, rtol=1e-12)
+    small = [p.astype(np.float32) for p in params]
+    assert all(g.dtype == np.float32 for g in net.gradient(small, x.astype(np.float32))[1])
