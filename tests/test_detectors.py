@@ -277,3 +277,35 @@ def test_written_out_gradients_equal_the_tape(net, shape):
     assert np.allclose(net.predict(params, x), net.forward([nets.Tensor(p) for p in params], x).data, rtol=1e-12)
     small = [p.astype(np.float32) for p in params]
     assert all(g.dtype == np.float32 for g in net.gradient(small, x.astype(np.float32))[1])
+
+
+def test_mixture_rounds_equal_sparks(spark):
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    from tidemark.detectors.statistical import expectation_maximisation, packed_rows
+
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.normal(0, 1, (300, 2)), rng.normal(4, 0.5, (200, 2))])
+    data = spark.createDataFrame([(row.tolist(),) for row in x], "v array<double>").coalesce(2).cache()
+    rows = data.select(array_to_vector("v").alias("features"))
+    for rounds in (1, 7, 100):
+        want = GaussianMixture(k=2, seed=42, maxIter=rounds).fit(rows)
+        start = GaussianMixture(k=2, seed=42, maxIter=0).fit(rows)
+        held = start.gaussiansDF.collect()
+        weights, means, covs = expectation_maximisation(
+            packed_rows(data), np.array(start.weights), np.stack([r["mean"].toArray() for r in held]), np.stack([r["cov"].toArray() for r in held]), rounds
+        )
+        assert np.allclose(weights, want.weights, rtol=1e-9)
+        for mean, cov, r in zip(means, covs, want.gaussiansDF.collect()):
+            assert np.allclose(mean, r["mean"].toArray(), rtol=1e-9) and np.allclose(cov, r["cov"].toArray(), rtol=1e-8, atol=1e-12)
+
+
+def test_sums_of_parted_rows():
+    from tidemark.detectors.statistical import _parted
+
+    z, w = np.random.default_rng(11).normal(size=(40, 3)), np.array([1.0, -2.0, 0.5])
+    m = z @ w
+    got = _parted(z, w, -0.5, 0.7)
+    inside = (m >= -0.5) & (m < 0.7)
+    assert np.allclose(got, [*z[m < -0.5].sum(0), *z[inside].sum(0), (m < -0.5).sum(), inside.sum()])
