@@ -216,3 +216,22 @@ def test_columns_are_pruned(spark, sf):
     plan = plan_of(e.where(F.col("value") > 10).select("value", "hour"))
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
     assert "props" not in scan.split("ReadSchema")[1] and "GreaterThan(value,10" in scan
+
+
+def test_hopkins_against_all_distances(spark):
+    """More rows than are compared at once, copies among them, and probes that are rows of the table."""
+    import hashlib
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 3))
+    x[:50] = x[0]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double, c double")
+    own = sorted(range(700), key=lambda i: (hashlib.md5(f"42|{i}".encode()).hexdigest(), i))[:20]
+    share = np.array([[int(hashlib.md5(f"42|{i}|{r}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(3)] for r in own])
+    lo, hi = x[own].min(0), x[own].max(0)
+    d = lambda p: np.sqrt(((x - p) ** 2).sum(1))
+    w = sum(np.delete(d(x[r]), r).min() for r in own)
+    u = sum(d(p).min() for p in lo + (hi - lo) * share)
+    for parts in (1, 5):
+        got = selection.hopkins(Frame(df.repartition(parts), ("a", "b", "c"), 700), probes=20)
+        assert got == pytest.approx(u / (w + u), rel=1e-12)
