@@ -436,3 +436,17 @@ def test_tables_of_a_block_go_with_it(spark):
     assert there == [False, False, True] and c.count() == 4
     discard(c)
     assert not os.path.isdir(c.written_to.removeprefix("file:"))
+
+
+def test_references_are_sent_once_per_large_chunk():
+    """In 64 dimensions the copies of a row that a join sends stay few as the table grows."""
+    from tidemark.operators.neighbours import _chunk_rows, _layout
+
+    for n, most in ((10_000, 8), (120_000, 24), (720_000, 64)):
+        rows, bins = _chunk_rows(64, n)
+        assert 8 * 64 * max(rows, bins) <= 16 << 20
+        pivots = np.random.default_rng(1).normal(size=(max(1, n // (4 * rows)), 64))
+        each = pd.DataFrame({"cell": range(len(pivots)), "n": n // len(pivots), "far": 9.0})
+        layout = _layout(pivots, each, each, pd.DataFrame({"cell": [], "far": []}), None, 1e9, n)
+        assert layout.q_chunks.sum() + layout.n_bins <= most
+    assert _chunk_rows(2, 10**9) == (2048, 8192)
