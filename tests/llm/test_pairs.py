@@ -241,3 +241,53 @@ def test_leaks_by_exhaustive_alignment(spark):
     got = find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id, r.matched) for r in got.collect()) == sorted((a, b, m) for (a, b), m in want.items())
     assert set(range(1, 25)) == {b for _, b in want}
+
+
+def test_memory_of_a_block():
+    """A pair of full blocks takes little more than its n-grams; before, 63 bytes an n-gram."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tidemark.llm.jaccard_join import _block_links
+
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 63, 100).astype(np.uint64)])) for _ in range(100)]
+    tracemalloc.start()
+    links = list(_block_links(np.arange(100), sets, np.arange(100) % 2, 80))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 99 and peak < 40 * sum(map(len, sets))
+
+
+def test_lots_of_postings_and_small_batches(spark, monkeypatch):
+    """Postings and counts do not depend on how many sets come at once, and no more than a lot is worked on."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import jaccard_join
+    from tidemark.session import small_batches
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, size).astype(np.uint64)) for size in rng.integers(1, 40, 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets])], names=["node", "size", "grams"])
+    hot = np.array([3, 7], np.uint64)
+
+    def postings():
+        out = pa.Table.from_batches(jaccard_join._postings(hot, 80)([batch])).to_pylist()
+        return sorted((r["node"], r["place"], r["gram"], r["size"], r["parity"], r["hot"]) for r in out)
+
+    whole = postings()
+    monkeypatch.setattr(jaccard_join, "LOT", 64)
+    assert postings() == whole
+    lots = list(jaccard_join._lots([batch], 2))
+    assert len(lots) > 5 and sum(b.num_rows for b in lots) == 50
+    for node, grams in enumerate(sets):
+        ordered = [*(g for g in grams if g not in hot), *(g for g in grams if g in hot)][: len(grams) - -(-80 * len(grams) // 100) + 1]
+        assert [(r[2], r[3], r[4], r[5]) for r in whole if r[0] == node] == [(int(g), len(grams), jaccard_join._parity(grams).tobytes(), bool(g in hot)) for g in ordered]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark, 7):
+        sizes = spark.range(0, 100, 1, 1).mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.num_rows])], names=["n"]) for x in b), "n long").collect()
+    assert max(r.n for r in sizes) == 7 and spark.conf.get(name) == before
