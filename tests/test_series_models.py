@@ -87,3 +87,20 @@ def test_summary_writes_counts_in_full():
         "overall", "  total_samples: 20012", "  anomalies_detected: 123456", "with labels", "  auc_roc: 0.1235",
         "over time", "  num_anomaly_episodes: 1234567",
     ]
+
+
+def test_products_come_without_a_python_object_per_row(spark):
+    """Sums of products over blocks equal the plain ones; rows go to tasks as arrays, not as lists of structs."""
+    from tidemark.detectors.per_series import products_by
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(k >= 40) + int(k >= 2500), None if k % 7 == 3 else float(rng.normal()), float(rng.normal())) for k in range(3000)]
+    df = spark.createDataFrame(rows, "_pos long, _g long, x double, y double").repartition(6)
+    made = products_by(df, 3000, ["x", "y"], lambda *x: np.stack(x, axis=1))
+    assert "MapInPandas" not in made._jdf.queryExecution().toString()
+    got = {r["_g"]: (r["rows"], {(c["i"], c["j"]): c["value"] for c in r["cells"]}) for r in made.collect()}
+    assert sorted(got) == [0, 1, 2]
+    for g, (n, cells) in got.items():
+        v = np.array([r[2:] for r in rows if r[1] == g and r[2] is not None])
+        assert n >= 1 and all(np.isclose((v.T @ v)[i, j], cells[i, j]) for i, j in ((0, 0), (0, 1), (1, 1)))
+        assert n == len(v)

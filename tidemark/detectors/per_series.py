@@ -15,13 +15,14 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.detectors.temporal import Arima, Prophet
 from tidemark.functions.scalars import row_mean
 from tidemark.operators.linalg import principal
-from tidemark.operators.order import pack_blocks, running_totals
+from tidemark.operators.order import block_rows, running_totals
 from tidemark.operators.quantile import quantiles_by
 from tidemark.operators.recursion import filtered
 from tidemark.operators.scale import scale_by
@@ -38,22 +39,36 @@ def products_by(df: DataFrame, total: int, inputs: Sequence[str], design: Callab
 
     ``design`` turns arrays of the inputs into one vector v per row.  Rows with a missing input are left out.
     """
-    packed, _ = pack_blocks(df, total, F.struct("_g", *[F.col(c).cast("double").alias(c) for c in inputs]), before=0, pos="_pos")
+    spark = df.sparkSession
+    block = F.floor(F.col("_pos") / min(block_rows(spark, total, 0), 8192))
+    slim = df.select("_g", "_pos", *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(inputs)])
+    placed = slim.repartition(shuffle_partitions(spark), block).sortWithinPartitions("_pos")
+
+    def cells(group: int, m: np.ndarray, rows: int) -> pa.RecordBatch:
+        i, j = np.triu_indices(len(m))
+        columns = [np.full(len(i), group, np.int64), i.astype(np.int32), j.astype(np.int32), m[i, j], np.full(len(i), rows, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_g", "i", "j", "value", "rows"])
 
     def fold(batches):
+        # positions ascend, so the rows of a series come one after the other
+        now, m, n = None, None, 0
         for batch in batches:
-            for rows in batch["v"]:
-                group = np.array([r["_g"] for r in rows])
-                values = np.array([[np.nan if r[c] is None else r[c] for c in inputs] for r in rows], float)
-                good = np.isfinite(values).all(axis=1)
-                group, values = group[good], values[good]
-                cut = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
-                for a, b in zip(cut, [*cut[1:], len(group)]):
-                    v = design(*values[a:b].T)
-                    i, j = np.triu_indices(v.shape[1])
-                    yield pd.DataFrame({"_g": group[a], "i": i, "j": j, "value": (v.T @ v)[i, j], "rows": b - a})
-
-    summed = packed.mapInPandas(fold, _CELLS).groupBy("_g", "i", "j").agg(F.sum("value").alias("value"), F.sum("rows").alias("rows"))
+            group = batch.column(0).to_numpy()
+            values = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(inputs))], axis=1)
+            good = np.isfinite(values).all(axis=1)
+            group, values = group[good], values[good]
+            cut = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
+            for a, b in zip(cut, [*cut[1:], len(group)]):
+                v = design(*values[a:b].T)
+                if group[a] != now:
+                    if n:
+                        yield cells(now, m, n)
+                    now, m, n = group[a], 0.0, 0
+                m, n = m + v.T @ v, n + b - a
+        if n:
+            yield cells(now, m, n)
+
+    summed = placed.mapInArrow(fold, _CELLS).groupBy("_g", "i", "j").agg(F.sum("value").alias("value"), F.sum("rows").alias("rows"))
     return summed.groupBy("_g").agg(F.collect_list(F.struct("i", "j", "value")).alias("cells"), F.max("rows").alias("rows"))
 
 
