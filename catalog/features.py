@@ -11,6 +11,7 @@ from tidemark.functions import scalars
 from tidemark.frame import Frame
 from tidemark.operators import features, impute, linalg, scale
 from tidemark.operators.normalise import quantile_clip
+from tidemark.operators.order import number_rows
 from tidemark.operators.quantile import quantiles
 from tidemark.session import materialise
 
@@ -54,7 +55,7 @@ def _rolling_sql(cols, order):
 def rolling_and_lag(spark, sf):
     f = lines(spark, sf)
     df = features.rolling_features(f.df, f.features, f.n)
-    return df.select("row_id", *[r(c, 6 if c.endswith("mean") else 4).alias(c) for c in df.columns if "_rolling_" in c or "_lag_" in c])
+    return df.select("row_id", *[scalars.rounded(F.col(c), 6 if c.endswith("mean") else 4).alias(c) for c in df.columns if "_rolling_" in c or "_lag_" in c])
 
 
 ROLLED = [f"{c}_{kind}" for c in ("value", "k") for kind in ("rolling_mean", "rolling_std", "lag_1", "lag_2", "lag_3")]
@@ -85,10 +86,9 @@ WITH {SCORED_SQL}, e AS (
 
 
 def _engineered(spark, sf, columns=None):
-    placed = Frame.of(events(spark, sf), ("value", "k"), ("ts", "event_id"), "ts")
-    ids = Frame.of(events(spark, sf), ("event_id",), ("ts", "event_id")).df
-    df, names = features.engineer(placed.df, placed.features, placed.n, "ts", interactions=True, interaction_columns=columns)
-    return df.join(ids, "row_id").select("event_id", *[(r(c, digits(c)) + 0.0).alias(c) for c in names])
+    placed, n = number_rows(events(spark, sf).select("ts", "event_id", "value", "k"), ["ts", "event_id"])
+    df, names = features.engineer(placed, ("value", "k"), n, "ts", interactions=True, interaction_columns=columns)
+    return df.select("event_id", *[(scalars.rounded(F.col(c).cast("double"), digits(c)) + 0.0).alias(c) for c in names])
 
 
 @query("engineered_features", _engineered_sql(ENGINEERED))

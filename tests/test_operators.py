@@ -450,3 +450,26 @@ def test_references_are_sent_once_per_large_chunk():
         layout = _layout(pivots, each, each, pd.DataFrame({"cell": [], "far": []}), None, 1e9, n)
         assert layout.q_chunks.sum() + layout.n_bins <= most
     assert _chunk_rows(2, 10**9) == (2048, 8192)
+
+
+def test_rounded_by_arithmetic(spark):
+    from tidemark.functions.scalars import rounded
+
+    values = [0.0, -0.0, 0.25, -0.25, 1.005, 2.5, -2.5, 1e-9, -1e-9, 123456.654321, 1e300, -1e300, 4.6e15, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", rounded(F.col("v"), 1).alias("r"))
+    assert "round(" not in df._jdf.queryExecution().optimizedPlan().toString().lower().replace("rounded", "")
+    got = [r.r for r in df.collect()]
+    want = [0.0, 0.0, 0.3, -0.3, 1.0, 2.5, -2.5, 0.0, 0.0, 123456.7, 1e300, -1e300, 4.6e15, float("inf")]
+    assert [str(g) for g in got[:14]] == [str(w) for w in want] and got[14] != got[14] and got[15] is None
+
+
+def test_numbering_writes_only_what_is_carried(spark, monkeypatch):
+    from tidemark.frame import Frame
+    from tidemark.operators import order
+
+    written = []
+    plain = order.materialise
+    monkeypatch.setattr(order, "materialise", lambda df, label: written.append(df.columns) or plain(df, label))
+    df = spark.createDataFrame([(2, 1, 5.0, "x"), (1, 2, 6.0, "y"), (1, 1, 7.0, "z")], "a int, b int, v double, s string")
+    frame = Frame.of(df, ["v"], ["a", "b"])
+    assert written == [["v", "_mid"]] and sorted((r.row_id, r.v) for r in frame.df.collect()) == [(0, 7.0), (1, 6.0), (2, 5.0)]
