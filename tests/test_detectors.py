@@ -309,3 +309,50 @@ def test_sums_of_parted_rows():
     got = _parted(z, w, -0.5, 0.7)
     inside = (m >= -0.5) & (m < 0.7)
     assert np.allclose(got, [*z[m < -0.5].sum(0), *z[inside].sum(0), (m < -0.5).sum(), inside.sum()])
+
+
+def test_autoencoder_deals_the_rows_to_learn_evenly(spark, monkeypatch):
+    from tidemark.detectors import neural
+    from tidemark.session import parallelism
+
+    n, workers, counts = 80_000, parallelism(spark), []
+    df = spark.range(0, n, 1, workers).select(F.col("id").alias("row_id"), F.sin("id").alias("a"), F.cos("id").alias("b"))
+    frame = Frame(df, ("a", "b"), n)
+
+    def count(data, samples, net, first_val, options):
+        def run(batches):
+            yield pd.DataFrame({"rows": [sum(int((at < first_val).sum()) for batch in batches for at, _ in samples(batch))]})
+
+        counts.extend(r["rows"] for r in data.coalesce(workers).mapInPandas(run, "rows bigint").collect())
+        return [np.zeros(p.shape, np.float32) for p in net.init(np.random.default_rng(0))]
+
+    monkeypatch.setattr(neural, "train", count)
+    raw = registry.create("autoencoder").raw_scores(frame).toPandas().sort_values("row_id")
+    # the last fifth is held out: left where it lies, it makes the others learn a quarter more
+    assert sum(counts) == 0.8 * n and max(counts) < 1.15 * 0.8 * n / workers
+    # a network of zeros gives zeros, so the error is the mean square of the row itself
+    x = df.toPandas().sort_values("row_id")[["a", "b"]].to_numpy()
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    assert raw["row_id"].tolist() == list(range(n)) and np.allclose(raw["raw"], (x * x).mean(1), rtol=1e-5, atol=1e-7)
+
+
+def test_steps_that_use_arrays_again_equal_the_textbook():
+    net, drop, sizes = nets.DenseNet(3, [8, 4], 0.25), np.random.default_rng(12), (16, 16, 5, 16, 5)
+    rng = np.random.default_rng(13)
+    local = net.init(rng)
+    want, m, v = [p.copy() for p in local], 0.0, 0.0
+    adam, same = nets.Adam(local, 0.01), np.random.default_rng(12)
+    for t, rows in enumerate(sizes, 1):
+        x = rng.normal(size=(rows, 3))
+        leaves = [nets.Tensor(p) for p in want]
+        gap = net.forward(leaves, x, same) - x
+        loss = (gap * gap).mean()
+        loss.backward()
+        assert adam.step(net, local, x, drop) == pytest.approx(float(loss.data.ravel()[0]), rel=1e-12)
+        grad = nets.flatten([leaf.grad for leaf in leaves])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        move = 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
+        want = nets.unflatten(nets.flatten(want) - move, want)
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(local, want))
+    kept = net._kept(np.random.default_rng(14), (1000, 1000))
+    assert abs(kept.mean() - 0.75) < 0.002
