@@ -62,6 +62,27 @@ def test_failed_model_is_recorded(spark, host):
     assert row["model"] == "pca" and row["auc_roc"] is None  # no labels: NULL, not 0
 
 
+def test_failed_model_raises_unless_asked_for(spark, monkeypatch):
+    from catalog import models
+
+    frame = Frame(spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "row_id long, x double"), ("x",), 60, None)
+    registry_create = registry.create
+
+    def no_mixture(name, **options):
+        made = registry_create(name, **options)
+        if name == "gaussian_mixture":
+            made.fit_predict = lambda _: (_ for _ in ()).throw(RuntimeError("an executor was lost"))
+        return made
+
+    monkeypatch.setattr(registry, "create", no_mixture)
+    monkeypatch.setattr(models, "lines", lambda spark, sf: frame)
+    with pytest.raises(pipeline.ModelsFailed, match="an executor was lost") as raised:
+        models.detect_many_models(spark, None)
+    assert [(a[0], a[1]) for a in raised.value.audit] == [("isolation_forest", "ok"), ("pca", "ok"), ("gaussian_mixture", "failed")]
+    scores, audit = pipeline.run_models(frame, ["pca", "gaussian_mixture"], skip_failed=True)
+    assert scores.count() == 60 and [r["status"] for r in audit.collect()] == ["ok", "failed"]
+
+
 def test_unknown_names_raise(spark, host):
     df = spark.createDataFrame(host)
     with pytest.raises(ValueError):
