@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ from tidemark.llm import jaccard_join
 from tidemark.llm.decontaminate import MASKS, SHARE, SPAN, WINDOW, decontaminate, find_leaks, masks_of
 from tidemark.llm.jaccard_join import keep_one, near_copies
 from tidemark.llm.substring_dedup import COVER, PERIOD, passage_digest
+from tidemark.session import materialise
 
 
 def components(rows, n, share):
@@ -71,6 +73,63 @@ def _set(text, n):
     yield {tuple(w[k: k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
+def test_sketches_miss_no_link():
+    """Bitmaps connect what links connect, fold to any width, and part sets that share half."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    sets = [np.sort(base[k: k + size]) for k, size in ((0, 1000), (20, 1000), (40, 1030), (500, 1000), (520, 1020), (2000, 2040), (2010, 2060), (2100, 2300), (4500, 9), (4500, 8))]
+    sets.sort(key=len)
+    sizes = np.array([len(x) for x in sets])
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        found = list(jaccard_join._sketch_links(np.arange(len(sets)), sizes, [jaccard_join._sketch(x) for x in sets], side, 85))
+        both = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+        links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * both[a][b] >= 85 * (sizes[a] + sizes[b] - both[a][b]) and (not side.any() or side[a] != side[b])]
+        groups = lambda pairs: _groups(len(sets), pairs)
+        assert links and all(groups(found)[a] == groups(found)[b] for a, b in links)
+        assert all(both[a][b] > 0.7 * sizes[a] for a, b in found)
+
+
+def _groups(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        of = [of[a] if k == of[b] else k for k in of]
+    return of
+
+
+def test_chains_of_long_sets_are_cut(spark, monkeypatch):
+    """Long texts that share halves with the next are one candidate cluster; only what links is dealt to blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 10_000)
+    monkeypatch.setattr(jaccard_join, "SKETCH_SETS", 16)
+    parts = [" ".join(f"w{k}x{i}" for i in range(900)) for k in range(31)]
+    rows = [(k, f"{parts[k]} {parts[k + 1]}") for k in range(30)] + [(100 + k, f"{parts[k]} {parts[k + 1]} more {k}") for k in (3, 17)]
+    cut, written = [], jaccard_join.materialise
+
+    def watched(df, label):
+        out = written(df, label)
+        if label == "cluster-blocks":
+            cut.append(sorted((r["_blocks"] for r in out.collect()), reverse=True))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, rows)).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert cut[0][0] > 1 and cut[-1] == [1, 1]
+
+
+def test_shuffles_go_with_the_write(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        return {x.split("/")[-1] for x in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    before = held()
+    materialise(spark.range(5000).selectExpr("id % 97 AS k", "id").repartition(3, "k"), "dealt")
+    until = time.time() + 20
+    while (left := held() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
 def test_small_blocks_and_frequent_grams(spark, monkeypatch):
     """Many blocks, long lists, and every shared n-gram ordered last: the same components."""
     for name, value in (("BLOCK_SETS", 5), ("BLOCK_TOKENS", 400), ("LIST_BLOCK", 4), ("SHORT_LIST", 2), ("HOT_SHARE", 1_000_000), ("LEADERS", 2)):
